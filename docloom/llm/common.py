@@ -68,6 +68,25 @@ def groups(batches: Iterator[pd.DataFrame], key: str, least: int = 1) -> Iterato
             yield last
 
 
+def chunks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The same rows, cut so that no group of a stream sorted by `key` is parted."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[key].to_numpy()
+        if held and held[-1][key].iloc[-1] != k[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        last = int(np.searchsorted(k, k[-1]))
+        if last:
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class Forest:
     """Union-find over 0..n-1; the smallest member is the root."""
 

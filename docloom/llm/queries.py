@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, licenses, packing, pii, quality, secrets, url_filter
+from docloom.llm import decontaminate, licenses, near_dup, packing, pii, quality, secrets, url_filter
 from docloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
