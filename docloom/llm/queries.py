@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, licenses, near_dup, packing, pii, quality, secrets, url_filter, vector_dup
+from docloom.llm import decontaminate, licenses, lm_score, near_dup, packing, pii, quality, secrets, url_filter, vector_dup
 from docloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op9_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.deduplicate(table(spark, sf_dir, "embeddings"))
 
