@@ -87,27 +87,6 @@ def chunks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-class Forest:
-    """Union-find over 0..n-1; the smallest member is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each end of an edge (a, b) reaches.
 

@@ -8,12 +8,10 @@ ones branch again. Independent trees repeat this, so that a pair at the threshol
 with a chance below one in a million. Documents that still crowd a node at the last level are
 compared in pairs of blocks, so no node is capped.
 
-Comparisons within a node use eight-bit minwise sketches and name candidates as spanning forests,
-never all pairs; each candidate is then confirmed on the two full sets. A refused candidate may
-have stood for others, so refused pairs are set aside and the nodes are read again, until every
-candidate pair is either refused or inside one component.
-
-Equal sets share a fingerprint and enter the trees once.
+Comparisons within a node use eight-bit minwise sketches and name candidates as stars around the
+smallest id, never as all pairs. What candidates connect is a group; its full sets are brought
+together once, groups of many documents in pairs of blocks, and every pair in them is decided by
+the exact sizes of intersections. Equal sets share a fingerprint and enter the trees once.
 """
 
 from __future__ import annotations
@@ -32,9 +30,11 @@ from docloom.llm.common import chunks, components, cut
 
 PLACES = 64  # minwise hashes
 TREES = 9
-NODE = 512  # documents that a node compares exhaustively
+NODE = 256  # documents that a node compares exhaustively
+BLOCK = 192  # documents of a group whose full sets one task compares with as many others
 LEVELS = 4
-#: Least chance of a missed pair at the threshold by the sketch filter.
+COLUMNS = 4096  # shingles that an exact comparison takes at once
+#: Chance that the sketch filter misses a pair at the threshold.
 MISS = 1e-6
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 2**32, PLACES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -184,141 +184,117 @@ def leaves(sets: DataFrame, similarity: float) -> DataFrame:
     return every
 
 
-def _forest(low: np.ndarray, side: np.ndarray, comp: np.ndarray, least: int, barred: dict[int, list[int]]) -> list[tuple[int, int]]:
-    """A spanning forest of likeliest candidate pairs over the components of one node (Prim's)."""
-    n = len(low)
-    open_, best, by = np.ones(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    single = len(np.unique(comp)) == n
-    edges = []
-    for start in range(n):
-        if not open_[start]:
-            continue
-        best[:] = 0
-        at = start
-        while True:
-            # the vertex and all of its component join the tree
-            for v in (at,) if single else np.flatnonzero(open_ & (comp == comp[at])).tolist():
-                open_[v] = False
-                rest = np.flatnonzero(open_)
-                if not len(rest):
-                    return edges
-                same = (low[rest] == low[v]).sum(1)
-                if side[v]:
-                    same[side[rest] == side[v]] = 0
-                if v in barred:
-                    same[np.isin(rest, barred[v])] = 0
-                better = same > best[rest]
-                best[rest[better]], by[rest[better]] = same[better], v
-            live = np.where(open_, best, 0)
-            at = int(live.argmax())
-            if live[at] < least:
-                break
-            edges.append((int(by[at]), at))
-    return edges
-
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return begin, np.diff(np.concatenate([begin, [len(key)]]))
 
-def _proposed(nodes: DataFrame, least: int, forests: int) -> DataFrame:
-    """Candidate edges (a, b), a < b, of nodes (node, side, id, sketch, comp, refused): so many disjoint forests of each."""
 
-    def several(ids, side, comp, low, refused) -> Iterator[tuple[int, int]]:
-        place = {int(x): k for k, x in enumerate(ids)}
-        barred: dict[int, list[int]] = {}
+def stars(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the smallest id of each component of a symmetric matrix to its other members."""
+    seen, edges = ~linked.any(1), []
+    for start in np.argsort(ids, kind="stable").tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        wave = np.array([start])
+        while len(wave):
+            wave = np.flatnonzero(linked[wave].any(0) & ~seen)
+            seen[wave] = True
+            edges += [(int(ids[start]), int(ids[k])) for k in wave if ids[k] != ids[start]]
+    return edges
 
-        def bar(i: int, j: int) -> None:
-            barred.setdefault(i, []).append(j)
-            barred.setdefault(j, []).append(i)
 
-        for k, bad in enumerate(refused):
-            for x in bad if bad is not None else ():
-                if int(x) in place:
-                    bar(k, place[int(x)])
-        for _ in range(forests):
-            edges = _forest(low, side, comp, least, barred)
-            if not edges:
-                return
-            for i, j in edges:
-                bar(i, j)
-                yield int(ids[i]), int(ids[j])
+def _proposed(nodes: DataFrame, least: int) -> DataFrame:
+    """Candidate edges (a, b), a < b, of nodes (node, side, id, sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in chunks(batches, "node"):
-            ids, side, comp, refused = g["id"].to_numpy(), g["side"].to_numpy(), g["comp"].to_numpy(), g["refused"].to_numpy()
+            ids, side = g["id"].to_numpy(), g["side"].to_numpy()
             low = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), PLACES)
-            node = g["node"].to_numpy()
-            begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            size = np.diff(np.concatenate([begin, [len(node)]]))
-            found: list[tuple[int, int]] = []
+            begin, size = _bounds(g["node"].to_numpy())
             two = begin[size == 2]  # the most common nodes, all at once
-            if forests == 1 and len(two):
-                fit = ((low[two] == low[two + 1]).sum(1) >= least) & (comp[two] != comp[two + 1]) & ((side[two] == 0) | (side[two] != side[two + 1]))
-                found += zip(ids[two[fit]].tolist(), ids[two[fit] + 1].tolist(), strict=True)
-            for b, k in zip(begin[size > (2 if forests == 1 else 1)], size[size > (2 if forests == 1 else 1)], strict=True):
+            fit = two[((low[two] == low[two + 1]).sum(1) >= least) & ((side[two] == 0) | (side[two] != side[two + 1]))]
+            found = [np.stack([np.minimum(ids[fit], ids[fit + 1]), np.maximum(ids[fit], ids[fit + 1])], axis=1)]
+            for b, k in zip(begin[size > 2], size[size > 2], strict=True):
                 x = slice(b, b + k)
-                found += several(ids[x], side[x], comp[x], low[x], refused[x])
-            if found:
-                e = np.array(found, dtype=np.int64)
-                e = np.unique(np.sort(e[e[:, 0] != e[:, 1]], axis=1), axis=0)
-                yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
+                linked = np.stack([(low[x] == row).sum(1) >= least for row in low[x]])
+                if side[x].any():
+                    linked &= side[x][:, None] != side[x]
+                np.fill_diagonal(linked, False)
+                found.append(np.array(stars(linked, ids[x]), dtype=np.int64).reshape(-1, 2))
+            edges = np.unique(np.concatenate(found), axis=0)
+            if len(edges):
+                yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
     return nodes.repartition("node").sortWithinPartitions("node").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, hashes) of the documents whose ids are named."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets."""
+    n = len(sets)
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.int64)
+    last = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, last, COLUMNS):
+        x = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+        m = np.zeros((n, min(COLUMNS, last - a)), np.float32)
+        m[row[x], column[x] - a] = 1
+        out += (m @ m.T).astype(np.int64)
+    return out
+
+
+def _linked(docs: DataFrame, grouped: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all pairs at the threshold within each group of (id, group)."""
+    sizes = cut(grouped.groupBy("group").agg(F.count("*").alias("n")))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = grouped.join(sizes, "group").select("id", "group", blocks.alias("blocks"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t, size).tobytes() for t in b.column(3).to_pylist()], pa.binary())], names=["id", "group", "blocks", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text")).join(ids, "id", "left_semi").mapInArrow(run, "id bigint, hashes binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text"))
+    sets = texts.join(members, "id").select("id", "group", "blocks", "text").mapInArrow(read, "id bigint, group bigint, blocks int, hashes binary")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    paired = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), side.alias("side"), "id", "hashes")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in chunks(batches, "pair"):
+            ids, side, blobs = g["id"].to_numpy(), g["side"].to_numpy(), g["hashes"].to_numpy()
+            edges: list[tuple[int, int]] = []
+            for b, k in zip(*_bounds(g["pair"].to_numpy()), strict=True):
+                if k < 2:
+                    continue
+                x = slice(b, b + k)
+                own = [np.frombuffer(s, np.uint64) for s in blobs[x]]
+                n = np.array([len(s) for s in own])
+                both = intersections(own)
+                linked = den * both >= num * (n[:, None] + n - both)
+                if side[x].any():
+                    linked &= side[x][:, None] != side[x]
+                np.fill_diagonal(linked, False)
+                edges += stars(linked, ids[x])
+            if edges:
+                yield pd.DataFrame(edges, columns=["a", "b"])
 
-def _judged(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) by the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
-
-    one = edges.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("p")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("q")), "b")
-    return two.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint, linked boolean")
-
+    return paired.repartition("pair").sortWithinPartitions("pair").mapInPandas(run, "a bigint, b bigint")
 
-def _links(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
-    """Confirmed links (a, b) that join every pair of sets at the threshold into one component.
 
-    reps: (id, sketch, paths), one for each distinct set.
-    """
-    least = least_equal(num / den)
-    nodes = cut(leaves(reps, num / den))
-    edges = cut(_proposed(nodes.withColumns({"comp": F.col("id"), "refused": F.lit(None).cast("array<bigint>")}), least, 1))
-    if edges.isEmpty():
-        return None
-    # a first forest reaches every document that has a candidate partner, so later rounds need no other sets
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_sets(docs, ends, size))
-    tried, forests = cut(_judged(edges, sets, num, den)), 4
-    while True:
-        linked, bad = tried.where("linked").select("a", "b"), tried.where(~F.col("linked"))
-        if bad.isEmpty():
-            return linked
-        # only a node that holds a refused pair can have a candidate pair that no forest stood for
-        ends = bad.select(F.col("a").alias("id")).unionByName(bad.select(F.col("b").alias("id"))).distinct()
-        held = cut(nodes.join(ends, "id", "left_semi").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
-        comps = components(linked).withColumnRenamed("node", "of")
-        refused = cut(bad.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("refused")))
-        left = nodes.join(held, "node", "left_semi").join(comps, F.col("id") == F.col("of"), "left").join(refused, "id", "left")
-        edges = cut(_proposed(left.select("node", "side", "id", "sketch", F.coalesce("component", "id").alias("comp"), "refused"), least, forests))
-        if edges.isEmpty():
-            return linked
-        tried = cut(tried.unionByName(_judged(edges, sets, num, den)))
-        forests *= 4
+def _components(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the linked ones among reps (id, sketch, paths), one for each distinct set."""
+    similarity = num / den
+    groups = components(_proposed(leaves(reps, similarity), least_equal(similarity)))
+    return components(_linked(docs, groups.select(F.col("node").alias("id"), F.col("component").alias("group")), size, num, den))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -334,14 +310,9 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     some = every.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     first = cut(some.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     reps = some.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").cast("bigint").alias("id"), "sketch", "paths")
-    links = _links(docs, reps, size, num, den)
-    named = first.where("n > 1").select("fp", "id", F.col("id").cast("bigint").alias("own"))
-    if links is not None:
-        comps = components(links)
-        ends = first.select("fp", F.col("id").cast("bigint").alias("own")).join(comps, F.col("own") == comps.node, "left")
-        named = ends.join(first.where("n > 1").select(F.col("fp").alias("same")), F.col("fp") == F.col("same"), "left").where("component is not null or same is not null").select("fp", "own", F.coalesce("component", "own").alias("component"))
-    else:
-        named = named.select("fp", "own", F.col("own").alias("component"))
+    comps = _components(docs, reps, size, num, den)
+    own = F.col("id").cast("bigint")
+    named = first.join(comps, own == F.col("node"), "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", own).alias("component"))
     out = every.select("doc_id", "n_shingles", "fp").join(cut(named).select("fp", "component"), "fp", "left")
     component = F.coalesce(F.col("component").cast(kind), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
