@@ -96,14 +96,48 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _built: dict[str, WuManber] = {}
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+def _shards(benchmark: DataFrame, shard_chars: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The usable items, in lists of about shard_chars characters at most."""
+    b = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    shards = -(-(b.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars) or 1
+    for i in range(shards):
+        shard = b if shards == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == i)
+        yield [(r.item, bytes(r.text)) for r in shard.collect()]
+
+
+def _machine(docs: DataFrame, items: list[tuple[str, bytes]], window: int):
+    """A function that gives the items' tables, built once in a worker."""
     sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def machine() -> WuManber:
         if key not in _built:
             _built.clear()
             _built[key] = WuManber(sent.value, window)
-        machine = _built[key]
+        return _built[key]
+
+    return machine
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs; no shuffle."""
+    at, out = docs.columns.index("text"), docs
+    for items in _shards(benchmark, shard_chars):
+        get = _machine(docs, items, window)
+
+        def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
+            machine = get()
+            for b in batches:
+                yield b.filter(pa.array([not machine.search(t)[1] for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+    get = _machine(docs, items, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = get()
         for b in batches:
             n, spans, names = [], [], []
             for text in b.column(1).to_pylist():
@@ -128,14 +162,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_
     repeated items count once by id; repeated documents are rows of their own with one shard and
     must have distinct ids for more. Empty tables give no rows or no hits. Other columns are not read.
     """
-    b = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    size = b.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = -(-size // shard_chars) or 1
-    parts = []
-    for i in range(shards):
-        shard = b if shards == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == i)
-        parts.append(_scan(docs, [(r.item, bytes(r.text)) for r in shard.collect()], window))
-    if shards == 1:
+    parts = [_scan(docs, items, window) for items in _shards(benchmark, shard_chars)]
+    if len(parts) == 1:
         return parts[0]
     every = parts[0]
     for p in parts[1:]:

@@ -143,6 +143,18 @@ def scored(docs: DataFrame, ranker: Ranker, keep: tuple[str, ...] = ("doc_id",))
     return docs.select(*keep, F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["score double"]))
 
 
+def accepted(docs: DataFrame, ranker: Ranker, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([features(t) for t in b.column(at).cast(pa.binary()).to_pylist()], dtype=float).reshape(b.num_rows, len(FEATURES))
+            yield b.filter(pa.array(ranker.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text).
 

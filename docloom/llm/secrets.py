@@ -25,6 +25,7 @@ HEX_BITS, MIXED_BITS = 3.2, 3.8
 #: Candidates that are no secrets: placeholders, sample keys, universally unique identifiers.
 ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0{8}|1234567|abcdefg|\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 LOW, SLOTS = 43, 80  # codes of + to z
+MARK = "[secret]"
 
 
 def least_sum(candidate: Column) -> Column:
@@ -60,13 +61,8 @@ def dense(m: Column, _: Column) -> Column:
     return F.when((hexadecimal | mixed) & ~m.rlike(ALLOWED), least_sum(m) <= F.when(hexadecimal, most(HEX_BITS)).otherwise(most(MIXED_BITS))).otherwise(False)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: array of (begin, rank, end, kind, match, group), for every row of docs(doc_id, text).
-
-    Places are code points, ends exclusive, over the whole text. Base kinds stay as matched; an
-    entropy span is added where no base span overlaps it. A null or empty text has no spans;
-    repeated rows are judged each by itself; an empty table gives no rows. No shuffle, no Python.
-    """
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with a column __spans."""
     text = F.col("__text")
     long = lambda _, g: F.length(g) >= 12
     yes = lambda m, _: F.lit(True)
@@ -76,9 +72,39 @@ def find(docs: DataFrame) -> DataFrame:
         spans(text, HEX, "hex", 2, yes),
     )
     more = spans(text, CANDIDATE, "entropy", 3, dense)
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).select("doc_id", "__text", base.alias("__base"), more.alias("__more"))
+    read = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumns({"__base": base, "__more": more})
     new = F.filter("__more", lambda m: ~F.exists("__base", lambda b: overlapping(m, b)))
-    return read.select("doc_id", F.sort_array(F.concat("__base", new)).alias("spans"))
+    return read.withColumn("__spans", F.sort_array(F.concat("__base", new))).drop("__text", "__base", "__more")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id and spans: array of (begin, rank, end, kind, match, group), for every row of docs(doc_id, text).
+
+    Places are code points, ends exclusive, over the whole text. Base kinds stay as matched; an
+    entropy span is added where no base span overlaps it. A null or empty text has no spans;
+    repeated rows are judged each by itself; an empty table gives no rows. No shuffle, no Python.
+    """
+    return marked(docs.select("doc_id", "text")).select("doc_id", F.col("__spans").alias("spans"))
+
+
+def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
+    """docs with every secret's span in text replaced by a mark, and n_chars, where there is one, set anew.
+
+    Overlapping spans give one mark. Rows without spans stay as they are.
+    """
+    text = F.col("text")
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = text.substr(acc["at"] + 1, F.greatest(s["begin"] - acc["at"], F.lit(0)))
+        out = F.when(s["begin"] >= acc["at"], F.concat(acc["out"], F.array(gap))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    new = F.aggregate("__spans", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(text.substr(acc["at"] + 1, F.length(text)))), mark))
+    out = marked(docs).withColumn("__hit", F.size("__spans") > 0).withColumn("text", F.when(F.col("__hit"), new).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__hit"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
