@@ -22,12 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import cut
-from docloom.llm.near_dup import _hashes, mix
+from docloom.llm.near_dup import mix
 from docloom.llm.quality import fold
 
 SLOTS = 1 << 18  # of a candidate table
@@ -38,23 +39,60 @@ INPUTS = PREDICTORS + 1
 GATES = DECISIONS * CONFIDENCES
 #: Tokens whose counts every worker knows; the counts of rarer ones are joined.
 HEAD = 1 << 18
+#: Bytes of text that are held as arrays at once; a longer text is a portion of its own.
+PORTION = 400_000
 BLOCK = 128  # tokens after which a text's weights are refined
 RATE = 0.02
 END, BEGIN = -1, -2
 
 
-def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, each closed by END, and the number of tokens of each."""
-    if len(_hashes) > 300_000:
-        _hashes.clear()
-    parts, sizes = [], np.empty(len(texts), np.int64)
-    get = _hashes.__getitem__
-    end = np.array([END], np.int64)
-    for i, t in enumerate(texts):
-        words = t.lower().split() if t else []
-        parts += (np.fromiter(map(get, words), dtype=np.int64, count=len(words)), end)
-        sizes[i] = len(words) + 1
-    return (np.concatenate(parts) if parts else end[:0]), sizes
+class Lexicon(dict):
+    """Words seen by this worker, numbered; their hashes, and a value of each that `look` finds. END is number 0."""
+
+    def __init__(self, look=None):
+        super().__init__()
+        self.look = look or (lambda h: h)
+        self.clear_all()
+
+    def clear_all(self) -> None:
+        self.clear()
+        self[None] = 0
+        self.fresh = [END]
+        self.hash, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.fresh.append(xxhash.xxh64_intdigest(word) >> 1)
+        return k
+
+    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens, each text closed by END, and how many each text has."""
+        if len(self) > 400_000:
+            self.clear_all()
+        parts, sizes = [], np.empty(len(texts), np.int64)
+        get, end = self.__getitem__, np.zeros(1, np.int64)
+        for i, t in enumerate(texts):
+            words = t.lower().split() if t else []
+            parts += (np.fromiter(map(get, words), dtype=np.int64, count=len(words)), end)
+            sizes[i] = len(words) + 1
+        if self.fresh:
+            new = np.array(self.fresh, np.int64)
+            self.fresh = []
+            self.hash, self.value = np.concatenate([self.hash, new]), np.concatenate([self.value, self.look(new)])
+        return (np.concatenate(parts) if parts else end[:0]), sizes
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The texts (last column) of a batch in runs of about PORTION bytes, with the first one's row."""
+    run, size, first = [], 0, 0
+    for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+        if run and size + len(t or b"") > PORTION:
+            yield first, run
+            run, size, first = [], 0, k
+        run.append(t)
+        size += len(t or b"")
+    if run:
+        yield first, run
 
 
 def short(h: np.ndarray) -> np.ndarray:
@@ -62,12 +100,9 @@ def short(h: np.ndarray) -> np.ndarray:
     return ((h >> 20) & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
 
 
-def salted(*parts: np.ndarray | int) -> np.ndarray:
-    h = np.uint64(0x243F6A8885A308D3)
-    for p in parts:
-        p = p.astype(np.int64).view(np.uint64) if isinstance(p, np.ndarray) else np.uint64(p)
-        h = mix((np.atleast_1d(h) * np.uint64(0x9E3779B97F4A7C15)) ^ p)
-    return h
+def bits(h: np.ndarray, salt: int, count: int) -> np.ndarray:
+    """A cell of `count` (a power of two) for each hash."""
+    return ((h * np.uint64((0x9E3779B97F4A7C15 * (2 * salt + 1)) % 2**64)) >> np.uint64(64 - (count - 1).bit_length())).astype(np.int64)
 
 
 def before(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -89,11 +124,9 @@ class Votes:
         self.votes = np.zeros((2, SLOTS), np.int64)
 
     def add(self, h: np.ndarray, sizes: np.ndarray) -> None:
-        starts = np.cumsum(sizes) - sizes
-        one = before(h, starts)
-        two = before(one, starts)
+        _, _, first, second = contexts(h, sizes)
         y = short(h).astype(np.uint64)
-        for k, slot in enumerate(context_slots(one, two)):
+        for k, slot in enumerate((bits(first, 0, SLOTS), bits(second, 1, SLOTS))):
             key, n = np.unique((slot.astype(np.uint64) << np.uint64(32)) | y, return_counts=True)
             self.merge(k, (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), n)
 
@@ -109,8 +142,13 @@ class Votes:
         self.votes[k, slot] = np.abs(votes)
 
 
-def context_slots(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (salted(1, one) % np.uint64(SLOTS)).astype(np.int64), (salted(2, one, two) % np.uint64(SLOTS)).astype(np.int64)
+def contexts(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The last token, the one before, and the hashes of the order-1 and order-2 contexts."""
+    starts = np.cumsum(sizes) - sizes
+    one = before(h, starts)
+    two = before(one, starts)
+    first = mix(one.view(np.uint64))
+    return one, two, first, mix(first + two.view(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 @dataclass
@@ -134,18 +172,17 @@ class Candidates:
 
     def decide(self, h: np.ndarray, sizes: np.ndarray, share: np.ndarray | None = None) -> Decided:
         n, starts = len(h), np.cumsum(sizes) - sizes
-        one = before(h, starts)
-        two = before(one, starts)
+        one, two, first, second = contexts(h, sizes)
         y = short(h)
         text = np.repeat(np.arange(len(sizes)), sizes)
-        key = salted(3, one, text)
+        key = first + text.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
         order = np.argsort(key, kind="stable")
         again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) if n else np.zeros(0, int)
         last = np.full(n, -1)
         last[order[again + 1]] = order[again]
-        s1, s2 = context_slots(one, two)
+        s1, s2 = bits(first, 0, SLOTS), bits(second, 1, SLOTS)
         cands = [np.where(last >= 0, y[last], np.uint32(0)), self.voted[1, s2], self.voted[0, s1]]
-        seen = np.where(last >= 0, np.where(one == before(one, starts), 2, 1), 0).astype(np.uint8)
+        seen = np.where(last >= 0, np.where(one == two, 2, 1), 0).astype(np.uint8)
         sure = [seen, self.sure[1, s2], self.sure[0, s1]]
         shares = None if share is None else [np.where(last >= 0, share[last], 0.0), self.share[1, s2], self.share[0, s1]]
         live = [cands[0] > 0, (cands[1] > 0) & (cands[1] != cands[0]), (cands[2] > 0) & (cands[2] != cands[0]) & (cands[2] != cands[1])]
@@ -161,21 +198,24 @@ class Candidates:
         for k in range(DECISIONS):
             at = np.flatnonzero(open_ & live[k])
             c = sure[k][at].astype(np.int64)
-            contexts = ((cands[k][at].astype(np.int64),), (one[at],), (one[at], two[at]), (c, past[at] * 4 + older[at]), (c, place[at]))
-            cells = np.stack([(salted(16 + 8 * k + i, *ctx) % np.uint64(CELLS)).astype(np.int32) for i, ctx in enumerate(contexts)], axis=1)
+            known = (cands[k][at].astype(np.uint64), first[at], second[at], (c * 16 + past[at] * 4 + older[at]).astype(np.uint64), (c * 64 + place[at] + 1024).astype(np.uint64))
+            cells = np.stack([bits(x, 8 + 8 * k + i, CELLS).astype(np.int32) for i, x in enumerate(known)], axis=1)
             parts.append((at, np.full(len(at), k), hits[k][at], cells, k * CONFIDENCES + c))
             open_ &= ~hits[k]
         freed = np.zeros(n) if shares is None else sum(np.where(live[k], shares[k], 0.0) for k in range(DECISIONS))
         return Decided(*(np.concatenate([p[i] for p in parts]) for i in range(5)), open_, np.minimum(freed, 0.9))
 
 
-def stretched(trials: np.ndarray, hits: np.ndarray, d: Decided) -> np.ndarray:
+def odds(trials: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Every predictor cell's log odds of a hit."""
+    return np.log((hits + 0.4) / (trials - hits + 0.4)).astype(np.float32)
+
+
+def stretched(table: np.ndarray, d: Decided) -> np.ndarray:
     """The predictors' log odds and a constant, for each decision."""
-    out = np.ones((len(d.at), INPUTS))
+    out = np.ones((len(d.at), INPUTS), np.float32)
     for i in range(PREDICTORS):
-        cell = (d.which * PREDICTORS + i) * CELLS + d.cells[:, i]
-        up, n = hits[cell], trials[cell]
-        out[:, i] = np.log((up + 0.4) / (n - up + 0.4))
+        out[:, i] = table[(d.which * PREDICTORS + i) * CELLS + d.cells[:, i]]
     return out
 
 
@@ -197,7 +237,7 @@ class Mixer:
     def add(self, d: Decided) -> None:
         if not len(d.at):
             return
-        x = stretched(self.trials, self.hits, d)
+        x = stretched(odds(self.trials, self.hits), d)
         for part in np.array_split(np.arange(len(d.at)), max(1, len(d.at) // 4096)):  # predicted before it is learned
             g, xs = d.gate[part], x[part]
             error = d.hit[part] - logistic((xs * self.weights[g]).sum(1))
@@ -228,10 +268,11 @@ def log_odds_cost(d: Decided, x: np.ndarray, weights: np.ndarray, sizes: np.ndar
         t, g, xs, hit = text[i], d.gate[i], x[i], d.hit[i]
         p = logistic((xs * own[t, g]).sum(1))
         out[i] = np.log10(np.where(hit, p, 1 - p))
-        cells, back = np.unique(t * GATES + g, return_inverse=True)
-        error = hit - p
-        step = np.stack([np.bincount(back, error * xs[:, k], len(cells)) for k in range(INPUTS)], axis=1)
-        own[cells // GATES, cells % GATES] += RATE * np.clip(step / np.sqrt(np.bincount(back))[:, None], -4, 4)
+        error, cell = hit - p, t * GATES + g
+        seen = np.sqrt(np.maximum(1, np.bincount(cell, minlength=len(sizes) * GATES)))
+        for k in range(INPUTS):
+            step = np.bincount(cell, error * xs[:, k], len(seen)) / seen
+            own[:, :, k] += RATE * np.clip(step, -4, 4).reshape(len(sizes), GATES)
     return out
 
 
@@ -240,30 +281,31 @@ def _passed(docs: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token hashes and sizes of portions of texts."""
+    words = Lexicon()
     for b in batches:
-        if b.num_rows:
-            yield hashed(b.column(b.num_columns - 1).to_pylist())
+        for _, texts in portions(b):
+            ids, sizes = words.read(texts)
+            yield words.hash[ids], sizes
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """(h, c) over all docs, END among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
-
-        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["h", "c"])
-        for h, _ in _texts(batches):
-            held.append(np.unique(h, return_counts=True))
-            if sum(len(k) for k, _ in held) > 2_000_000:
-                held = [merged()]
-                if len(held[0][0]) > 1_000_000:
-                    yield out(*held.pop())
-        if held:
-            yield out(*merged())
+        words, counts = Lexicon(), np.zeros(0, np.int64)
+        for b in batches:
+            for _, texts in portions(b):
+                if len(words) > 400_000 and len(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array(words.hash), pa.array(counts)], names=["h", "c"])
+                    words.clear_all()
+                    counts = counts[:0]
+                ids, _ = words.read(texts)
+                n = np.bincount(ids, minlength=len(words))
+                n[: len(counts)] += counts
+                counts = n
+        if len(counts):
+            yield pa.RecordBatch.from_arrays([pa.array(words.hash), pa.array(counts)], names=["h", "c"])
 
     return _passed(docs, run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -379,6 +421,36 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
 
 
+def _scored(words: Lexicon, texts: list[bytes | None], row: int, own: list[pa.Array], table: np.ndarray, weights: np.ndarray, candidates: Candidates, floor: float) -> pa.RecordBatch:
+    """A row for each text with what the head's counts give, and one for each rarer token of it."""
+    ids, sizes = words.read(texts)
+    h, count = words.hash[ids], words.value[ids]
+    there = count > 0
+    starts, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    logs = np.where(there, (np.log10(words.value + 0.5) - floor)[ids], 0.0)
+    d = candidates.decide(h, sizes, np.where(there, ((words.value + 0.5) / 10**floor)[ids], 0.0))
+    cost = log_odds_cost(d, stretched(table, d), weights, sizes)
+    base = np.add.reduceat(logs, starts)
+    total = np.bincount(text[d.at], cost, len(sizes)) + np.add.reduceat(np.where(d.escaped, logs - np.log10(1 - d.freed), 0.0), starts)
+    rare = np.flatnonzero(~there)
+    order = rare[np.lexsort((h[rare], text[rare]))]
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])]) if len(order) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    times = np.diff(np.concatenate([first, [len(order)]])) if len(first) else np.zeros(0, np.int64)
+    escapes = np.add.reduceat(d.escaped[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    k, at = len(sizes), order[first]
+    rows, blank, none = row + np.arange(k), np.zeros(len(at), np.int64), np.zeros(k, np.int64)
+    take = pa.array(np.concatenate([np.arange(k), text[at]]))
+    both = lambda x, y: pa.array(np.concatenate([x, y]))
+    return pa.RecordBatch.from_arrays(
+        [
+            both(rows, rows[text[at]]), own[0].take(take), own[1].take(take), both(-3 - rows, h[at]), both(sizes, blank), both(np.add.reduceat(there.astype(np.int64), starts), blank),
+            both(base, blank.astype(float)), both(total, blank.astype(float)), both(np.array([len(t or b"") for t in texts], np.int64), blank), both(none, times), both(none, escapes),
+        ],
+        names=["row", "doc_id", "held_out", "h", "n_tokens", "n_known", "base", "total", "n_bytes", "times", "escapes"],
+    )
+
+
 def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row of docs(doc_id, text).
 
@@ -400,46 +472,23 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     share = np.array([by_short.get(t, 0.0) for t in voted.ravel().tolist()]).reshape(voted.shape)
     candidates = sc.broadcast(Candidates(voted, confidence(votes), share))
     trials, hits, weights = _mixed(training.where(judges), candidates)
-    known = sc.broadcast((keys, c, trials, hits, weights))
+    known = sc.broadcast((keys, c, odds(trials, hits), weights))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, c, trials, hits, weights = known.value
-        row = TaskContext.get().partitionId() << 36
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = b.column(2).to_pylist()
-            h, sizes = hashed(texts)
-            starts, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        keys, c, table, weights = known.value
+
+        def look(h: np.ndarray) -> np.ndarray:
+            """The head's count of a token, 0 for a rarer one."""
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            there = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            count = np.where(there, c[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-            logs = np.log10(count + 0.5) - floor
-            d = candidates.value.decide(h, sizes, np.where(there, 10**logs, 0.0))
-            cost = log_odds_cost(d, stretched(trials, hits, d), weights, sizes)
-            total = np.bincount(text[d.at], cost, len(sizes))
-            base = np.add.reduceat(np.where(there, logs, 0.0), starts)
-            total += np.add.reduceat(np.where(d.escaped, np.where(there, logs, 0.0) - np.log10(1 - d.freed), 0.0), starts)
-            rows = row + np.arange(len(sizes))
-            row += len(sizes)
-            rare = np.flatnonzero(~there)
-            order = rare[np.lexsort((h[rare], text[rare]))]
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])]) if len(order) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            times = np.diff(np.concatenate([first, [len(order)]])) if len(first) else np.zeros(0, np.int64)
-            escapes = np.add.reduceat(d.escaped[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-            k, own = len(sizes), order[first]
-            blank = np.zeros(len(own), np.int64)
-            take = pa.array(np.concatenate([np.arange(k), text[own]]))
-            lone = lambda x, y: pa.array(np.concatenate([x, y]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    lone(rows, rows[text[own]]), b.column(0).take(take), b.column(1).take(take), lone(-3 - rows, h[own]), lone(sizes, blank), lone(np.add.reduceat(there.astype(np.int64), starts), blank),
-                    lone(base, blank.astype(float)), lone(total, blank.astype(float)), lone(np.array([len(t or b"") for t in texts], np.int64), blank), lone(np.zeros(k, np.int64), times), lone(np.zeros(k, np.int64), escapes),
-                ],
-                names=["row", "doc_id", "held_out", "h", "n_tokens", "n_known", "base", "total", "n_bytes", "times", "escapes"],
-            )
+            return np.where(keys[at] == h, c[at], 0) if len(keys) else np.zeros(len(h), np.int64)
+
+        words, row = Lexicon(look), TaskContext.get().partitionId() << 36
+        for b in batches:
+            for begin, texts in portions(b):
+                k = len(texts)
+                yield _scored(words, texts, row, [b.column(i).slice(begin, k) for i in (0, 1)], table, weights, candidates.value, floor)
+                row += k
 
     read = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(
         run, f"row bigint, doc_id {kind}, held_out boolean, h bigint, n_tokens bigint, n_known bigint, base double, total double, n_bytes bigint, times bigint, escapes bigint"
