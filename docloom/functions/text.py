@@ -25,6 +25,11 @@ CAPTION_PATTERNS = (r"^Figure\s+\d+", r"^Fig\.\s*\d+", r"^Table\s+\d+", r"^Diagr
 UNITS = ("mA", "mV", "kHz", "MHz", "mm", "kg", "°C", "V", "A", "W", "Hz", "Ω")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once and outside generated code."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -95,7 +100,10 @@ def is_caption(text: Column) -> Column:
 
 def amount(raw: Column, gate: float = 0.65) -> Column:
     """struct(value double, rule, confidence, unresolved): the first rule that fits and can be read."""
-    s = strip(raw)
+    return let(strip(raw), lambda s: _amount(raw, s, gate))
+
+
+def _amount(raw: Column, s: Column, gate: float) -> Column:
     kind = "struct<value:double,rule:string,confidence:double>"
     tried = []
     for name, pattern, sure, how in AMOUNT_RULES:
@@ -107,8 +115,11 @@ def amount(raw: Column, gate: float = 0.65) -> Column:
             read = digits
         value = read.try_cast("double")
         tried.append(F.when(s.rlike("(?i)" + pattern) & value.isNotNull(), F.struct(value.alias("value"), F.lit(name).alias("rule"), F.lit(sure).alias("confidence"))))
-    found = F.coalesce(*tried, F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("rule"), F.lit(0.0).alias("confidence")).cast(kind))
-    sure = found["confidence"] >= gate
+    none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("rule"), F.lit(0.0).alias("confidence")).cast(kind)
+    return let(F.coalesce(*tried, none), lambda found: _gated(raw, found, found["confidence"] >= gate))
+
+
+def _gated(raw: Column, found: Column, sure: Column) -> Column:
     return F.struct(F.when(sure, found["value"]).alias("value"), found["rule"].alias("rule"), F.when(raw.isNull(), 0.0).otherwise(found["confidence"]).alias("confidence"), (raw.isNull() | ~sure).alias("unresolved"))
 
 
@@ -118,7 +129,10 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
 
 def date(raw: Column) -> Column:
     """struct(value, rule, confidence): ISO text; days beyond a month's end stay as written."""
-    s = strip(raw)
+    return let(strip(raw), _date)
+
+
+def _date(s: Column) -> Column:
     month = lambda name: F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(name, 1, 3))).cast("int")
     part = lambda rx, i: F.regexp_extract(s, rx, i)
     dmy, natural, mdy = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", rf"(?i)(\d{{1,2}})\s+{MONTH}[\s,]+(\d{{4}})", rf"(?i){MONTH}\s+(\d{{1,2}})[\s,]+(\d{{4}})"
@@ -156,15 +170,13 @@ def hint(field: Column) -> Column:
 
 def normalized(raw: Column, kind: Column) -> Column:
     """struct(norm_double, norm_string, rule, confidence, unresolved) by the kind of field."""
-    a, d, c = amount(raw), date(raw), currency(raw)
     row = lambda x, y, rule, sure, open_: F.struct(x.cast("double").alias("norm_double"), y.cast("string").alias("norm_string"), rule.cast("string").alias("rule"), sure.cast("double").alias("confidence"), open_.alias("unresolved"))
     none = F.lit(None)
-    return (
-        F.when(kind == "amount", row(a["value"], F.when(a["unresolved"], strip(raw)), a["rule"], a["confidence"], a["unresolved"]))
-        .when(kind == "date", row(none, F.coalesce(d["value"], strip(raw)), d["rule"], d["confidence"], d["value"].isNull()))
-        .when(kind == "currency", row(none, c["value"], c["rule"], c["confidence"], c["unresolved"]))
-        .otherwise(row(none, squeezed(raw), F.when(raw.isNotNull(), "whitespace_strip"), F.when(raw.isNull(), 0.0).otherwise(1.0), raw.isNull()))
-    )
+    as_amount = lambda a: row(a["value"], F.when(a["unresolved"], strip(raw)), a["rule"], a["confidence"], a["unresolved"])
+    as_date = lambda d: row(none, F.coalesce(d["value"], strip(raw)), d["rule"], d["confidence"], d["value"].isNull())
+    as_currency = lambda c: row(none, c["value"], c["rule"], c["confidence"], c["unresolved"])
+    plain = row(none, squeezed(raw), F.when(raw.isNotNull(), "whitespace_strip"), F.when(raw.isNull(), 0.0).otherwise(1.0), raw.isNull())
+    return F.when(kind == "amount", let(amount(raw), as_amount)).when(kind == "date", let(date(raw), as_date)).when(kind == "currency", let(currency(raw), as_currency)).otherwise(plain)
 
 
 def unit_split(value: Column) -> Column:
@@ -183,9 +195,8 @@ def unit_of(value: Column) -> Column:
     return out
 
 
-def good_quality(text: Column, page: Column | None = None) -> Column:
+def good_quality(text: Column) -> Column:
     """Whether text reads as language: few private-use characters, enough common words."""
-    del page
     n = F.length(text)
     private = n - F.length(F.regexp_replace(text, "[-]", ""))
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import regions
+from docloom.plans import regions, scalars
 
-MODULES = (regions,)
+MODULES = (regions, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -117,6 +117,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL over fixtures, which body may read by their names prefixed with f_."""
+    if not names:
+        return body.strip()
     ctes = ", ".join(f"f_{n} as ({sql(n, True)})" for n in names)
     inner = body.strip()
     if inner.lower().startswith("with "):
