@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import regions, scalars
+from docloom.plans import graph, regions, scalars
 
-MODULES = (regions, scalars)
+MODULES = (regions, scalars, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
