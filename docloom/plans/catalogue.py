@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import graph, regions, scalars
+from docloom.plans import graph, regions, scalars, tables
 
-MODULES = (regions, scalars, graph)
+MODULES = (regions, scalars, graph, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
