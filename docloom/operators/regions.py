@@ -8,13 +8,14 @@ is the unit of work; documents with very many pages spread over many partitions.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as geo
 from docloom.functions.text import is_upper, strip
+from docloom.operators.paged import by_page
 
 PAGE = ["doc_id", "page"]
 KEY = [*PAGE, "region_idx"]
@@ -183,33 +184,38 @@ def widest_gap(regions: DataFrame, axis: str, least: float) -> DataFrame:
 def xy_cut(regions: DataFrame, least_x: float = 10, least_y: float = 2, column_gap: float = 35, column_first: bool = False) -> DataFrame:
     """regions' keys with read_no by recursive cuts at the widest gaps, columns first where their gap is clear."""
 
-    def gap(v: pd.DataFrame, a: str, b: str, least: float) -> tuple[float, float | None]:
-        best, at, reach = 0.0, None, None
-        for s, e in sorted(zip(v[a], v[b], strict=True)):
-            if reach is not None and s >= reach and s - reach > best and s - reach >= least:
-                best, at = s - reach, (s + reach) / 2
-            reach = e if reach is None else max(reach, e) if s < reach else e
-        return best, at
-
-    def order(v: pd.DataFrame) -> list[int]:
-        if len(v) < 2:
-            return v["region_idx"].tolist()
-        gx, sx = gap(v, "x0", "x1", least_x)
-        gy, sy = gap(v, "y0", "y1", least_y)
-        if sx is None and sy is None:
-            return v.sort_values(["y0", "x0"], kind="stable")["region_idx"].tolist()
-        by_x = sx is not None and (sy is None or gx > (15 if column_first else column_gap))
-        axis, at = ("x", sx) if by_x else ("y", sy)
-        first = (v[axis + "0"] + v[axis + "1"]) / 2 < at
-        if first.all() or not first.any():
-            return v.sort_values(["y0", "x0"], kind="stable")["region_idx"].tolist()
-        return order(v[first]) + order(v[~first])
-
-    def run(v: pd.DataFrame) -> pd.DataFrame:
-        ids = order(v.sort_values("region_idx", kind="stable"))
-        return pd.DataFrame({"doc_id": v["doc_id"].iloc[0], "page": v["page"].iloc[0], "region_idx": ids, "read_no": range(len(ids))})
-
-    return regions.select(*KEY, *geo.SIDES).groupBy(*PAGE).applyInPandas(run, "doc_id bigint, page int, region_idx int, read_no int")
+    def gap(low: np.ndarray, high: np.ndarray, least: float) -> tuple[float, float | None]:
+        order = np.lexsort((high, low))
+        a, b = low[order], high[order]
+        reach = np.maximum.accumulate(b)[:-1]
+        gaps = a[1:] - reach
+        fit = (gaps > 0) & (gaps >= least)
+        if not fit.any():
+            return 0.0, None
+        k = int(np.where(fit, gaps, -1.0).argmax())
+        return float(gaps[k]), float((a[k + 1] + reach[k]) / 2)
+
+    def order(at: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> list[int]:
+        todo, out = [at], []
+        while todo:
+            at = todo.pop()
+            gx, sx = gap(x0[at], x1[at], least_x) if len(at) > 1 else (0.0, None)
+            gy, sy = gap(y0[at], y1[at], least_y) if len(at) > 1 else (0.0, None)
+            by_x = sx is not None and (sy is None or gx > (15 if column_first else column_gap))
+            if sx is None and sy is None:
+                out += at[np.lexsort((x0[at], y0[at]))].tolist()
+                continue
+            first = (x0[at] + x1[at]) / 2 < sx if by_x else (y0[at] + y1[at]) / 2 < sy
+            if first.all() or not first.any():
+                out += at[np.lexsort((x0[at], y0[at]))].tolist()
+            else:
+                todo += [at[~first], at[first]]
+        return out
+
+    def page(ids: np.ndarray, *sides: np.ndarray) -> tuple:
+        return ids[order(np.arange(len(ids)), *sides)], range(len(ids))
+
+    return by_page(regions, ["region_idx"], page, ["region_idx", *geo.SIDES], "region_idx int, read_no int", ["region_idx", "read_no"])
 
 
 def page_stats(regions: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ line_idx, kind and a box. A table's box comes as columns t_x0..t_y1 on its docum
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import geometry as geo
 from docloom.functions.text import is_caption, strip
+from docloom.operators.paged import by_page
 from docloom.operators.regions import pairs
 
 # Words that mark technical tables.
@@ -62,27 +63,25 @@ def anchor_candidates(boxes: DataFrame, search: float = 120, tolerance: float =
 
 def anchors(boxes: DataFrame, search: float = 120, tolerance: float = 50) -> DataFrame:
     """doc_id, page, table_idx, text_idx: tables in order take their nearest text that no earlier table took."""
-    p = pairs(boxes.where(F.col("type") == "table"), boxes.where(F.col("type").isin("text", "title", "heading")))
 
-    def run(v: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for t, g in v.sort_values(["a_region_idx", "b_region_idx"]).groupby("a_region_idx", sort=True):
-            g = g[~g["b_region_idx"].isin(taken)]
-            up, off = g["a_y0"] - g["b_y1"], (g["b_x0"] - g["a_x0"]).abs()
-            beside = g[["a_y1", "b_y1"]].min(axis=1) - g[["a_y0", "b_y0"]].max(axis=1) > 0
-            right, lower = (g["a_x0"] - g["b_x1"]).clip(lower=0), (g["a_y0"] - g["b_y0"]).abs()
-            strict = (up.between(-20, search) | beside) & ((off <= tolerance) | (g["b_x1"] <= g["a_x0"] + 30))
-            loose = beside & (g["b_x1"] <= g["a_x1"] + 200)
-            near = (right + lower * 0.5).where(beside, (up**2 + off**2) ** 0.5)[strict]
-            if not len(near):
-                near = (right + lower * 0.1)[loose]
-            if len(near):
-                best = g.loc[near.idxmin(), "b_region_idx"]
-                taken.add(best)
-                out.append((v["a_doc_id"].iloc[0], v["a_page"].iloc[0], t, best))
-        return pd.DataFrame(out, columns=["doc_id", "page", "table_idx", "text_idx"])
-
-    return p.groupBy("a_doc_id", "a_page").applyInPandas(run, "doc_id bigint, page int, table_idx int, text_idx int")
+    def page(ids, kinds, x0, y0, x1, y1) -> tuple:
+        tables, texts = np.flatnonzero(kinds == "table"), np.flatnonzero(kinds != "table")
+        free, out = np.ones(len(texts), bool), []
+        for t in tables:
+            up, off = y0[t] - y1[texts], np.abs(x0[texts] - x0[t])
+            beside = np.minimum(y1[t], y1[texts]) - np.maximum(y0[t], y0[texts]) > 0
+            right, lower = np.maximum(x0[t] - x1[texts], 0), np.abs(y0[t] - y0[texts])
+            strict = free & (((up >= -20) & (up <= search)) | beside) & ((off <= tolerance) | (x1[texts] <= x0[t] + 30))
+            loose = free & beside & (x1[texts] <= x1[t] + 200)
+            fit, near = (strict, np.where(beside, right + lower * 0.5, np.hypot(up, off))) if strict.any() else (loose, right + lower * 0.1)
+            if fit.any():
+                best = int(np.where(fit, near, np.inf).argmin())
+                free[best] = False
+                out.append((ids[t], ids[texts[best]]))
+        return [a for a, _ in out], [b for _, b in out]
+
+    regions = boxes.where(F.col("type").isin("table", "text", "title", "heading"))
+    return by_page(regions, ["region_idx"], page, ["region_idx", "type", *geo.SIDES], "table_idx int, text_idx int", ["table_idx", "text_idx"])
 
 
 def best_matches(texts: DataFrame, boxes: DataFrame, least: float = 0.2) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import graph, regions, scalars, tables
+from docloom.plans import graph, records, regions, scalars, tables
 
-MODULES = (regions, scalars, graph, tables)
+MODULES = (regions, scalars, graph, tables, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
