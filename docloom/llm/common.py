@@ -87,6 +87,21 @@ def chunks(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
+def stars(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the smallest id of each component of a symmetric matrix to its other members."""
+    seen, edges = ~linked.any(1), []
+    for start in np.argsort(ids, kind="stable").tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        wave = np.array([start])
+        while len(wave):
+            wave = np.flatnonzero(linked[wave].any(0) & ~seen)
+            seen[wave] = True
+            edges += [(int(ids[start]), int(ids[k])) for k in wave if ids[k] != ids[start]]
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each end of an edge (a, b) reaches.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, components, cut
+from docloom.llm.common import chunks, components, cut, stars
 
 PLACES = 64  # minwise hashes
 TREES = 9
@@ -189,21 +189,6 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.concatenate([begin, [len(key)]]))
 
 
-def stars(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from the smallest id of each component of a symmetric matrix to its other members."""
-    seen, edges = ~linked.any(1), []
-    for start in np.argsort(ids, kind="stable").tolist():
-        if seen[start]:
-            continue
-        seen[start] = True
-        wave = np.array([start])
-        while len(wave):
-            wave = np.flatnonzero(linked[wave].any(0) & ~seen)
-            seen[wave] = True
-            edges += [(int(ids[start]), int(ids[k])) for k in wave if ids[k] != ids[start]]
-    return edges
-
-
 def _proposed(nodes: DataFrame, least: int) -> DataFrame:
     """Candidate edges (a, b), a < b, of nodes (node, side, id, sketch)."""
 
