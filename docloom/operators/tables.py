@@ -334,6 +334,6 @@ def cells_of_tags(text: Column) -> Column:
     """array<array<string>> of a model's answer: <ROW> parts with <P>, <C> and <V> tags, else pipe rows."""
     tag = lambda r, t: F.trim(F.regexp_extract(r, f"(?s)<{t}>(.*?)</{t}>", 1))
     tagged = F.transform(F.regexp_extract_all(text, F.lit("(?s)<ROW>(.*?)</ROW>"), F.lit(1)), lambda r: F.array(tag(r, "P"), tag(r, "C"), tag(r, "V")))
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
-    piped = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), F.trim))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^[|\s:-]+$"))
+    piped = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
     return F.when(F.size(tagged) > 0, tagged).otherwise(piped)

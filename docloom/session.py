@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "docloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +16,27 @@ def session(name: str = "docloom", master: str | None = None, **conf: str) -> Sp
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows computed now and kept in the cluster's shared checkpoint folder (a temporary one where it names none)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
+    """df with its rows' places, from 0, in a total order: ranges are sorted side by side, and only their sizes meet."""
+    at = F.monotonically_increasing_id()
+    ranged = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", at))
+    part = F.shiftright("__m", 33)
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "__p long, __o long")
+    return ranged.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__o", "__m")
