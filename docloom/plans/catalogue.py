@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import flows, graph, records, regions, scalars, tables
+from docloom.plans import flows, graph, records, refine, regions, scalars, tables
 
-MODULES = (regions, scalars, graph, tables, records, flows)
+MODULES = (regions, scalars, graph, tables, records, flows, refine)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -161,10 +161,10 @@ def span_verify_fuzzy(spark, sf):
     return op.repaired(_said(spark, sf), short).select("doc_id", "path", "state", "ratio", "repair")
 
 
-@query("provenance_fill", f"with {_PIECES}, e as (select doc_id, k, path, value, regexp_replace(value, '^\\s+|\\s+$', '', 'g') as t, case when verbatim then 1.0 else 0.9 end as ratio, k + 1 as page from v), o as (select * from e qualify row_number() over (partition by doc_id, lower(t) order by ratio desc, k) = 1 and t <> ''), r as (select *, row_number() over (partition by doc_id order by ratio desc, k, path) as rank from o) select doc_id, cast(rank as int) as rank, substr(t, 1, 200) as snippet, cast(page as int) as page from r where rank <= 2")
+@query("provenance_fill", f"with {_PIECES}, e as (select doc_id, k, path, value, regexp_replace(value, '^\\s+|\\s+$', '', 'g') as t, case when verbatim then 1.0 else 0.9 end as ratio, k + 1 as page from v), o as (select * from e qualify row_number() over (partition by doc_id, lower(t) order by ratio desc, k) = 1 and t <> ''), r as (select *, row_number() over (partition by doc_id order by ratio desc, k, path) as rank from o) select doc_id, cast(rank as int) as rank, substr(t, 1, 200) as snippet, cast(page as int) as page from r where rank <= 6")
 def provenance_fill(spark, sf):
     v = op.verified(_said(spark, sf), docs(spark, sf)).withColumn("ratio", F.when(F.col("verbatim"), 1.0).otherwise(0.9))
-    return op.evidence(v, 2)
+    return op.evidence(v)
 
 
 @query("page_references", oracle("select doc_id, array_to_string(list_sort(list_distinct(list(page)))[:10], ',') as pages from f_field where page is not null group by doc_id", "field"))
@@ -183,9 +183,9 @@ def retry_candidates(spark, sf):
     return op.retry_candidates(f)
 
 
-@query("page_lookup", oracle("select doc_id, region_idx % 5 + 1 as page, region_idx from f_line_text where region_idx <= 5 and length(text) > 30", "line_text"))
+@query("page_lookup", oracle("select doc_id, region_idx % 5 + 1 as page, region_idx from f_line_text where length(text) > 30", "line_text"))
 def page_lookup(spark, sf):
-    t = load(spark, sf, "line_text").where("region_idx <= 5 and length(text) > 30")
+    t = load(spark, sf, "line_text").where("length(text) > 30")
     source = F.concat(F.lit("<!-- page:9 -->\nx\n<!-- page:"), (F.col("region_idx") % 5 + 1).cast("string"), F.lit(" -->\n"), F.col("text"), F.lit("\n<!-- page:77 -->"))
     return t.select("doc_id", op.page_before(source, F.upper(F.substring("text", 5, 20))).alias("page"), "region_idx")
 

@@ -201,6 +201,22 @@ def widest_gap_y(spark, sf):
     return op.widest_gap(load(spark, sf, "box"), "y", 2)
 
 
+@query("xy_cut_one_level", oracle("""
+with ex as (select doc_id, page, x0 as a, max(x1) over (partition by doc_id, page order by x0, x1, region_idx rows between unbounded preceding and 1 preceding) as reach from f_box),
+gx as (select doc_id, page, arg_max((a + reach) / 2, (a - reach, -a)) as split from ex where a - reach > 35 group by doc_id, page),
+ey as (select doc_id, page, y0 as a, max(y1) over (partition by doc_id, page order by y0, y1, region_idx rows between unbounded preceding and 1 preceding) as reach from f_box),
+gy as (select doc_id, page, arg_max((a + reach) / 2, (a - reach, -a)) as split from ey where a - reach >= 2 and a > reach group by doc_id, page)
+select b.doc_id, b.page, b.region_idx, case when gx.split is not null then 'x' when gy.split is not null then 'y' else '-' end as axis, case when gx.split is not null then case when (x0 + x1) / 2 < gx.split then 0 else 1 end when gy.split is not null then case when (y0 + y1) / 2 < gy.split then 0 else 1 end else 0 end as side
+from f_box b left join gx using (doc_id, page) left join gy using (doc_id, page)""", "box"))
+def xy_cut_one_level(spark, sf):
+    box = load(spark, sf, "box")
+    gx = op.widest_gap(box, "x", 10).where("gap > 35").select("doc_id", "page", F.col("split").alias("sx"))
+    gy = op.widest_gap(box, "y", 2).select("doc_id", "page", F.col("split").alias("sy"))
+    j = box.join(gx, ["doc_id", "page"], "left").join(gy, ["doc_id", "page"], "left")
+    side = F.when(F.col("sx").isNotNull(), ((F.col("x0") + F.col("x1")) / 2 >= F.col("sx")).cast("int")).when(F.col("sy").isNotNull(), ((F.col("y0") + F.col("y1")) / 2 >= F.col("sy")).cast("int")).otherwise(0)
+    return j.select("doc_id", "page", "region_idx", F.when(F.col("sx").isNotNull(), "x").when(F.col("sy").isNotNull(), "y").otherwise("-").alias("axis"), side.alias("side"))
+
+
 @query("xy_cut_full")
 def xy_cut_full(spark, sf):
     return op.xy_cut(load(spark, sf, "box"))

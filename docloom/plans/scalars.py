@@ -68,13 +68,13 @@ def text_quality(spark, sf):
 
 @query("clean_text", oracle(r"""
 select doc_id, region_idx, md5(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g')) as cleaned,
-  regexp_replace(regexp_replace(replace(text, '|', '\|'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') as cell from f_line_text where region_idx <= 3""", "line_text"))
+  regexp_replace(regexp_replace(replace(text, '|', '\|'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') as cell from f_line_text""", "line_text"))
 def clean_text(spark, sf):
-    t = load(spark, sf, "line_text").where("region_idx <= 3")
+    t = load(spark, sf, "line_text")
     return t.select("doc_id", "region_idx", F.md5(tx.clean(F.col("text"))).alias("cleaned"), tx.cell_escaped(F.col("text")).alias("cell"))
 
 
-@query("comparable_text", oracle(r"select page_id as doc_id, md5(lower(trim(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '\s+', ' ', 'g')))) as h from pages where page_id >= 0"))
+@query("comparable_text", oracle(r"select page_id as doc_id, md5(lower(trim(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '\s+', ' ', 'g')))) as h from pages"))
 def comparable_text(spark, sf):
     # ASCII letters only differ in case between the engines' rules for titles; the hash covers the whole page
     return spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.md5(tx.comparable(F.col("html"))).alias("h"))

@@ -166,16 +166,25 @@ def multi_gap(spark, sf):
     return op.wide_gaps(load(spark, sf, "word"), tabs(spark, sf))
 
 
-@query("table_route")
-def table_route(spark, sf):
-    return op.routed(load(spark, sf, "word"), load(spark, sf, "line"), tabs(spark, sf)).select("doc_id", "table_type", F.round("ruled_score", 6).alias("ruled_score"), F.round("kv_score", 6).alias("kv_score"), "n_gaps", "n_anchors")
-
-
 @query("anchor_words", oracle("select doc_id, " + " + ".join(f"max(case when contains(lower(text), '{a}') then 1 else 0 end)" for a in op.ANCHORS) + " as n_anchors from f_word group by doc_id", "word"))
 def anchor_words(spark, sf):
     return op.anchor_words(load(spark, sf, "word"))
 
 
+_KV = f"""with {_GAPS}, m as (select doc_id, n, (cx + nx) / 2 as mid, nx - cx as gap from g where nx is not null qualify row_number() over (partition by doc_id order by nx - cx desc, cx) = 1),
+s as (select w.doc_id, any_value(m.n) as n, any_value(m.mid) as mid, any_value(m.gap) as gap, count_if(cx < mid) as l, count_if(cx > mid) as r from w left join m using (doc_id) group by w.doc_id)
+select doc_id, case when coalesce(n, 1) < 4 or not (mid / 600 > 0.2 and mid / 600 < 0.8) then 0.0 else least(1.0, gap / 600 * 0.7 + case when greatest(l, r) > 0 then least(l, r) / greatest(l, r) else 0 end * 0.3) end as kv_score from s"""
+_ANCHORS = "select doc_id, " + " + ".join(f"max(case when contains(lower(text), '{a}') then 1 else 0 end)" for a in op.ANCHORS) + " as n_anchors from f_word group by doc_id"
+
+
+@query("table_route", oracle(f"""
+with a as ({_ANCHORS}), k as ({_KV}), r as ({_RULED}), m as ({_MULTI})
+select doc_id, case when n_anchors >= 2 or n_gaps >= 2 then 'COMPLEX' when coalesce(ruled_score, 0) > 0.4 then 'RULED' when kv_score > 0.8 then 'KV' else 'COMPLEX' end as table_type, coalesce(ruled_score, 0) as ruled_score, round(kv_score, 6) as kv_score, n_gaps, n_anchors
+from a join k using (doc_id) join m using (doc_id) left join r using (doc_id)""", "word", "line"))
+def table_route(spark, sf):
+    return op.routed(load(spark, sf, "word"), load(spark, sf, "line"), tabs(spark, sf)).select("doc_id", "table_type", F.round("ruled_score", 6).alias("ruled_score"), F.round("kv_score", 6).alias("kv_score"), "n_gaps", "n_anchors")
+
+
 @query("kv_cells")
 def kv_cells(spark, sf):
     return op.kv_cells(load(spark, sf, "word"), tabs(spark, sf))
