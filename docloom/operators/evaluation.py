@@ -101,9 +101,9 @@ def retention(special: DataFrame, teacher: DataFrame, metrics: tuple[str, ...] =
 
 def coverage(truth: DataFrame) -> DataFrame:
     """path, n, share of annotated documents."""
-    docs = truth.agg(F.countDistinct("doc_id").alias("docs"))
+    total = truth.agg(F.countDistinct("doc_id")).first()[0]
     per = truth.groupBy("path").agg(F.countDistinct("doc_id").alias("n"))
-    return per.crossJoin(F.broadcast(docs)).select("path", "n", F.round(F.col("n") / F.col("docs"), 4).alias("share"))
+    return per.select("path", "n", F.round(F.col("n") / F.lit(max(1, total)), 4).alias("share"))
 
 
 def enriched(cards: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import json_tools as js
 from docloom.operators import graph, providers
 from docloom.operators import records as rec
+from docloom.session import shared_folder
 from docloom.sources import readers, sinks
 from docloom.sources.fixtures import load, oracle
 from docloom.streaming import incremental
@@ -29,9 +29,8 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark) -> str:
-    """A folder that executors and driver share: the checkpoint folder's, or a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/docloom-{uuid.uuid4().hex}"
+    """A new folder within the shared one."""
+    return f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
 
 
 @query("json_salvage", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")

@@ -18,13 +18,18 @@ def session(name: str = "docloom", master: str | None = None, **conf: str) -> Sp
     return builder.config(map=settings).getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows computed now and kept in the cluster's shared checkpoint folder (a temporary one where it names none)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    return path or sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows computed now and kept in the shared folder: lost executors do not lose them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
