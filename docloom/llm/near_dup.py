@@ -10,8 +10,8 @@ compared in pairs of blocks, so no node is capped.
 
 Comparisons within a node use eight-bit minwise sketches and name candidates as stars around the
 smallest id, never as all pairs. What candidates connect is a group; its full sets are brought
-together once, groups of many documents in pairs of blocks, and every pair in them is decided by
-the exact sizes of intersections. Equal sets share a fingerprint and enter the trees once.
+together, and every pair of them is either decided by the exact size of the intersection or
+already inside one component. Equal sets share a fingerprint and enter the trees once.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ PLACES = 64  # minwise hashes
 TREES = 9
 NODE = 256  # documents that a node compares exhaustively
 BLOCK = 192  # documents of a group whose full sets one task compares with as many others
+PIVOTS = 48  # documents of a large group, about, that meet all the others
 LEVELS = 4
 COLUMNS = 4096  # shingles that an exact comparison takes at once
 #: Chance that the sketch filter misses a pair at the threshold.
@@ -236,28 +237,30 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(docs: DataFrame, grouped: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all pairs at the threshold within each group of (id, group)."""
+def _sets(docs: DataFrame, grouped: DataFrame, size: int) -> DataFrame:
+    """(id, group, n, hashes): the full sets of the members of groups (id, group) of n."""
     sizes = cut(grouped.groupBy("group").agg(F.count("*").alias("n")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = grouped.join(sizes, "group").select("id", "group", blocks.alias("blocks"))
+    members = grouped.join(sizes, "group").select("id", "group", "n")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t, size).tobytes() for t in b.column(3).to_pylist()], pa.binary())], names=["id", "group", "blocks", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t, size).tobytes() for t in b.column(3).to_pylist()], pa.binary())], names=["id", "group", "n", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(members, "id").select("id", "group", "blocks", "text").mapInArrow(read, "id bigint, group bigint, blocks int, hashes binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    paired = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), side.alias("side"), "id", "hashes")
+    return texts.join(members, "id").select("id", "group", "n", "text").mapInArrow(read, "id bigint, group bigint, n bigint, hashes binary")
+
+
+def _compared(parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked among the sets (part, side, id, hashes) of each part.
+
+    side: 0 where all of a part's sets are compared, else 1 and 2, which are compared with each other.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in chunks(batches, "pair"):
+        for g in chunks(batches, "part"):
             ids, side, blobs = g["id"].to_numpy(), g["side"].to_numpy(), g["hashes"].to_numpy()
             edges: list[tuple[int, int]] = []
-            for b, k in zip(*_bounds(g["pair"].to_numpy()), strict=True):
+            for b, k in zip(*_bounds(g["part"].to_numpy()), strict=True):
                 if k < 2:
                     continue
                 x = slice(b, b + k)
@@ -272,14 +275,46 @@ def _linked(docs: DataFrame, grouped: DataFrame, size: int, num: int, den: int)
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return paired.repartition("pair").sortWithinPartitions("pair").mapInPandas(run, "a bigint, b bigint")
+    return parts.repartition("part").sortWithinPartitions("part").mapInPandas(run, "a bigint, b bigint")
+
+
+def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all pairs at the threshold within each group of (id, group, n, hashes).
+
+    A group of up to BLOCK documents is one part. A larger one is dealt into blocks, and some
+    PIVOTS of its documents go to every block: copies of one text are then in one component
+    without meeting pairwise. Only documents outside their group's largest component are still
+    compared with the whole group, block by block; pairs inside one component need no comparison.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pivot = F.pmod(F.xxhash64("id", F.lit("pivot")), F.ceil(F.col("n") / PIVOTS)) == 0
+    places = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    first = sets.withColumn("block", F.explode(places)).select(F.xxhash64("group", "block").alias("part"), F.lit(0).alias("side"), "id", "hashes")
+    links = cut(_compared(first, num, den))
+    large = sets.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return links
+    comps = components(links)
+    at = cut(large.select("id", "group", "n").join(comps, F.col("id") == F.col("node"), "left").select("id", "group", "n", F.coalesce("component", "id").alias("comp")))
+    largest = at.groupBy("group", "comp").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.sum("k").alias("all"), F.max("k").alias("in"))
+    open_ = cut(largest.where(F.col("all") > F.col("in")).select("group", "most", F.ceil((F.col("all") - F.col("in")) / BLOCK).cast("int").alias("rests")))
+    if open_.isEmpty():
+        return links
+    rest = at.join(open_, "group").select("id", "rests", (F.col("comp") != F.col("most")).alias("rest"))
+    left = large.join(rest, "id")
+    asked = F.pmod(F.xxhash64("id", F.lit("rest")), F.col("rests")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    asks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("i"), asked.alias("j"), F.lit(2).alias("side")))
+    second = left.withColumn("m", F.explode(F.when(F.col("rest"), F.concat(meets, asks)).otherwise(meets))).select(F.xxhash64("group", "m.i", "m.j").alias("part"), F.col("m.side").alias("side"), "id", "hashes")
+    return links.unionByName(_compared(second, num, den))
 
 
 def _components(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(node, component) of the linked ones among reps (id, sketch, paths), one for each distinct set."""
     similarity = num / den
     groups = components(_proposed(leaves(reps, similarity), least_equal(similarity)))
-    return components(_linked(docs, groups.select(F.col("node").alias("id"), F.col("component").alias("group")), size, num, den))
+    return components(_linked(cut(_sets(docs, groups.select(F.col("node").alias("id"), F.col("component").alias("group")), size)), num, den))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -259,6 +259,7 @@ def jaccard_components(texts, size, num, den):
 def test_near_dup_is_brute_force(spark, size, num, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE", 8)  # nodes branch, and crowd at the last level
     monkeypatch.setattr(near_dup, "BLOCK", 6)
+    monkeypatch.setattr(near_dup, "PIVOTS", 2)
     rng = random.Random(size)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(3, 90))] for _ in range(12)]
     texts = {}
