@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as geo
 from docloom.functions.text import is_upper, strip
+from docloom.operators.paged import carried
 
 ATOMIC = ("table", "figure", "caption", "footer")
 MAX_CHUNK, OVERLAP, NEAR = 1200, 150, 80.0
 REFERENCE = r"(?i)(?:Fig\.?|Figure|Table)\s*(\d+[A-Za-z]*)"
-STATE = "struct<stack:array<string>,size:int,node:int,open:boolean,out:array<struct<region_idx:int,node_idx:int,stack:array<string>>>>"
+STATE = "struct<stack:array<string>,size:int,node:int,open:boolean,out:array<struct<node_idx:int,stack:array<string>>>>"
 
 
 def next_stack(stack: Column, kind: Column, text: Column) -> Column:
@@ -33,8 +34,7 @@ def next_stack(stack: Column, kind: Column, text: Column) -> Column:
 
 def chunked(regions: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
     """regions with node_idx and stack: tables, figures, captions and footers alone; a title or heading begins a node; text fills one until it has over `most` characters."""
-    row = F.struct("region_idx", "type", "text")
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("size"), F.lit(0).alias("node"), F.lit(False).alias("open"), F.array().cast("array<struct<region_idx:int,node_idx:int,stack:array<string>>>").alias("out")).cast(STATE)
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("size"), F.lit(0).alias("node"), F.lit(False).alias("open"), F.array().cast("array<struct<node_idx:int,stack:array<string>>>").alias("out")).cast(STATE)
 
     def step(s: Column, r: Column) -> Column:
         alone, head = r["type"].isin(*ATOMIC), r["type"].isin("title", "heading")
@@ -45,11 +45,10 @@ def chunked(regions: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
         closes = alone | (~head & (filled > most))
         # a node shows the stack that holds when it closes
         stack = next_stack(s["stack"], r["type"], r["text"])
-        out = F.concat(s["out"], F.array(F.struct(r["region_idx"].alias("region_idx"), node.alias("node_idx"), stack.alias("stack"))))
+        out = F.concat(s["out"], F.array(F.struct(node.alias("node_idx"), stack.alias("stack"))))
         return F.struct(stack.alias("stack"), F.when(closes, 0).otherwise(filled).alias("size"), (node + F.when(closes, 1).otherwise(0)).alias("node"), (~closes).alias("open"), out.alias("out")).cast(STATE)
 
-    folded = regions.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rs")).select("doc_id", F.explode(F.aggregate("rs", start, step, lambda s: s["out"])).alias("o")).select("doc_id", "o.*")
-    return regions.join(folded, ["doc_id", "region_idx"])
+    return carried(regions, ["doc_id"], ["region_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"]))
 
 
 def nodes(regions: DataFrame, most: int = MAX_CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -123,7 +122,7 @@ def neighbours(made: DataFrame, links: DataFrame) -> DataFrame:
 def batches(pieces: DataFrame, most: int = 4000, order: str = "node_idx", size: Column | None = None) -> DataFrame:
     """pieces (doc_id, order, content) with batch_idx: filled in order up to `most` characters; a longer piece is a batch of its own."""
     n = F.length("content") if size is None else size
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("batch"), F.array().cast("array<struct<k:int,batch_idx:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("batch"), F.array().cast("array<struct<batch_idx:int>>").alias("out"))
 
     def step(s: Column, r: Column) -> Column:
         huge = r["n"] > most
@@ -131,12 +130,10 @@ def batches(pieces: DataFrame, most: int = 4000, order: str = "node_idx", size:
         batch = s["batch"] + F.when(turn, 1).otherwise(0)
         return F.struct(
             F.when(huge, 0).when(turn, r["n"]).otherwise(s["size"] + r["n"]).alias("size"), (batch + F.when(huge, 1).otherwise(0)).alias("batch"),
-            F.concat(s["out"], F.array(F.struct(r["k"].alias("k"), batch.alias("batch_idx")))).alias("out"),
+            F.concat(s["out"], F.array(F.struct(batch.alias("batch_idx")))).alias("out"),
         )
 
-    row = F.struct(F.col(order).cast("int").alias("k"), n.cast("int").alias("n"))
-    folded = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rs")).select("doc_id", F.explode(F.aggregate("rs", start, step, lambda s: s["out"])).alias("o")).select("doc_id", F.col("o.k").alias(order), "o.batch_idx")
-    return pieces.join(folded, ["doc_id", order])
+    return carried(pieces.withColumn("n", n.cast("int")), ["doc_id"], [order], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"])).drop("n")
 
 
 def batched(made: DataFrame, most: int = 4000) -> DataFrame:
@@ -165,8 +162,8 @@ def shattered(made: DataFrame, most: int = 4000) -> DataFrame:
 
 def page_chunks(regions: DataFrame, most: int = 2500) -> DataFrame:
     """regions with chunk_idx and section_path: cut at titles and headings once over half full, and after text once full."""
-    kind = "struct<size:int,chunk:int,path:array<string>,out:array<struct<region_idx:int,chunk_idx:int,path:string>>>"
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<region_idx:int,chunk_idx:int,path:string>>").alias("out")).cast(kind)
+    kind = "struct<size:int,chunk:int,path:array<string>,out:array<struct<chunk_idx:int,section_path:string>>>"
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<chunk_idx:int,section_path:string>>").alias("out")).cast(kind)
 
     def step(s: Column, r: Column) -> Column:
         head = r["type"].isin("title", "heading")
@@ -176,9 +173,7 @@ def page_chunks(regions: DataFrame, most: int = 2500) -> DataFrame:
         chunk = s["chunk"] + F.when(cut, 1).otherwise(0)
         size = F.when(cut, 0).otherwise(s["size"]) + F.length(F.coalesce(r["text"], F.lit("")))
         full = (size >= most) & ~r["type"].isin("table", "figure")
-        out = F.concat(s["out"], F.array(F.struct(r["region_idx"].alias("region_idx"), chunk.alias("chunk_idx"), F.array_join(path, " > ").alias("path"))))
+        out = F.concat(s["out"], F.array(F.struct(chunk.alias("chunk_idx"), F.array_join(path, " > ").alias("section_path"))))
         return F.struct(F.when(full, 0).otherwise(size).alias("size"), (chunk + F.when(full, 1).otherwise(0)).alias("chunk"), path.alias("path"), out.alias("out")).cast(kind)
 
-    row = F.struct("region_idx", "type", "text")
-    folded = regions.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rs")).select("doc_id", F.explode(F.aggregate("rs", start, step, lambda s: s["out"])).alias("o")).select("doc_id", "o.region_idx", "o.chunk_idx", F.col("o.path").alias("section_path"))
-    return regions.join(folded, ["doc_id", "region_idx"])
+    return carried(regions, ["doc_id"], ["region_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"]))

@@ -1,4 +1,4 @@
-"""Python functions over the regions of one page at a time, without a DataFrame for each page."""
+"""Scans over the ordered rows of one document or page: folds in the JVM, and Python functions without a DataFrame for each page."""
 
 from __future__ import annotations
 
@@ -6,7 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Column], Column]) -> DataFrame:
+    """df with the fields that a fold finds for each row: one shuffle by keys, no join back.
+
+    fold takes a group's rows, an array of structs sorted by `order`, and returns an array of
+    structs of the same length.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("__rows"))
+    zipped = F.arrays_zip("__rows", fold(F.col("__rows")).alias("__found"))
+    return grouped.select(*keys, F.explode(zipped).alias("__z")).select(*keys, "__z.__rows.*", "__z.__found.*")
 
 
 def by_page(regions: DataFrame, order: list[str], f: Callable[..., tuple], columns: list[str], schema: str, names: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as geo
 from docloom.functions.text import is_caption, strip
-from docloom.operators.paged import by_page
+from docloom.operators.paged import by_page, carried
 from docloom.operators.regions import pairs
 
 # Words that mark technical tables.
@@ -123,17 +123,15 @@ def stylesheet(words: DataFrame) -> DataFrame:
 
 def row_groups(words: DataFrame, tolerance: float) -> DataFrame:
     """words with row_no: by top edge; a row takes words within tolerance of its first one's top."""
-    row = F.struct("y0", "word_idx")
-    kind = "struct<anchor:double,row:int,out:array<struct<word_idx:int,row_no:int>>>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<word_idx:int,row_no:int>>").alias("out")).cast(kind)
+    kind = "struct<anchor:double,row:int,out:array<struct<row_no:int>>>"
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<row_no:int>>").alias("out")).cast(kind)
 
     def step(s: Column, w: Column) -> Column:
         new = s["anchor"].isNull() | (F.abs(w["y0"] - s["anchor"]) > tolerance)
         no = s["row"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, w["y0"]).otherwise(s["anchor"]).alias("anchor"), no.alias("row"), F.concat(s["out"], F.array(F.struct(w["word_idx"].alias("word_idx"), no.alias("row_no")))).alias("out")).cast(kind)
+        return F.struct(F.when(new, w["y0"]).otherwise(s["anchor"]).alias("anchor"), no.alias("row"), F.concat(s["out"], F.array(F.struct(no.alias("row_no")))).alias("out")).cast(kind)
 
-    folded = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("ws")).select("doc_id", F.explode(F.aggregate("ws", start, step, lambda s: s["out"])).alias("o")).select("doc_id", "o.*")
-    return words.join(folded, ["doc_id", "word_idx"])
+    return carried(words, ["doc_id"], ["y0", "word_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"]))
 
 
 def row_tolerance(words: DataFrame, factor: float, least: float) -> DataFrame:
