@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as geo
 from docloom.functions.text import is_upper, strip
-from docloom.operators.paged import by_page
+from docloom.operators.paged import by_page, carried
 
 PAGE = ["doc_id", "page"]
 KEY = [*PAGE, "region_idx"]
@@ -125,9 +125,17 @@ def _ranked(regions: DataFrame) -> DataFrame:
 def suppress(regions: DataFrame, most: float, inclusive: bool = False) -> DataFrame:
     """Greedy suppression: a region stays if its IoU with each kept one is at most `most` (below it, if inclusive)."""
     hit = (lambda a, b: _iou(a, b) >= most) if inclusive else (lambda a, b: _iou(a, b) > most)
-    fold = F.aggregate("rs", F.array().cast(f"array<{_BOX}>"), lambda kept, r: F.when(F.exists(kept, lambda k: hit(k, r)), kept).otherwise(F.concat(kept, F.array(r))))
-    kept = _ranked(regions).select(*PAGE, F.explode(F.transform(fold, lambda k: k["region_idx"])).alias("region_idx"))
-    return regions.join(kept, KEY, "left_semi").select(*regions.columns)
+    side = "struct<x0:double,y0:double,x1:double,y1:double>"
+    kind = f"struct<kept:array<{side}>,out:array<struct<__keep:boolean>>>"
+    start = F.struct(F.array().cast(f"array<{side}>").alias("kept"), F.array().cast("array<struct<__keep:boolean>>").alias("out")).cast(kind)
+
+    def step(s: Column, r: Column) -> Column:
+        over = F.exists(s["kept"], lambda k: hit(k, r))
+        box = F.struct(*[r[c].alias(c) for c in geo.SIDES])
+        return F.struct(F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(box))).alias("kept"), F.concat(s["out"], F.array(F.struct((~over).alias("__keep")))).alias("out")).cast(kind)
+
+    ranked = regions.withColumns({"__c": -F.col("conf"), "__a": -geo.area()})
+    return carried(ranked, PAGE, ["__c", "__a", "region_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"])).where("__keep").select(*regions.columns)
 
 
 def merge_detections(regions: DataFrame, most: float = 0.3, inside: float = 0.8) -> DataFrame:
