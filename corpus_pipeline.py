@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, near_dup, packing, quality, secrets
-from docloom.llm.common import shared_folder, table, tune
+from docloom.llm.common import table, tune
+from docloom.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,7 @@
-"""What the corpus operators share: reading tables, token bytes, grouped streams, connected components."""
+"""What the corpus operators share: reading tables, grouped streams, connected components."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import settled as cut
+
 #: Texts reach Python in Arrow batches of so many rows; very long texts keep a batch within a few dozen MB.
 BATCH_ROWS = 512
 
@@ -24,21 +25,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
-    return path or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed now and kept in the shared folder: lost executors do not lose them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def groups(batches: Iterator[pd.DataFrame], key: str, least: int = 1) -> Iterator[pd.DataFrame]:
     """Whole groups of at least `least` rows from a stream of batches sorted by `key`.
 
