@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +46,37 @@ MODULES = {
 }
 
 
-def score(text: Column, patterns: tuple[str, ...]) -> Column:
-    """How many of the patterns occur in lower-cased text."""
-    t = F.lower(text)
-    hits = [t.rlike(p).cast("int") for p in patterns]
-    return sum(hits[1:], hits[0])
+def needles(pattern: str) -> tuple[str, ...]:
+    """Letters that a text must hold for each alternative of a pattern to occur; none where one has no such start."""
+    found = []
+    depth, part, parts = 0, "", []
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append(part)
+            part = ""
+        else:
+            part += c
+    for alternative in [*parts, part]:
+        m = re.match(r"(?:\\b)?([a-z0-9 -]+)([?*]?)", alternative)
+        start = (m[1][:-1] if m[2] else m[1]) if m else ""
+        if not start:
+            return ()
+        found.append(start)
+    return tuple(found)
+
+
+def occurs(text: Column, pattern: str) -> Column:
+    """Whether a pattern occurs in lower-cased text; a cheap search for its letters comes first."""
+    held = [text.contains(n) for n in needles(pattern)]
+    return reduce(lambda a, b: a | b, held) & text.rlike(pattern) if held else text.rlike(pattern)
 
 
 def scored(docs: DataFrame, buckets: dict[str, tuple[str, ...]]) -> DataFrame:
-    """docs with one count column for each bucket; each pattern is read once."""
-    return docs.withColumns({f"s_{k.lower()}": score(F.col("text"), p) for k, p in buckets.items()})
+    """docs with one column for each bucket: how many of its patterns occur."""
+    low = F.col("__low")
+    count = lambda patterns: reduce(lambda a, b: a + b, [occurs(low, p).cast("int") for p in patterns])
+    return docs.withColumn("__low", F.lower("text")).withColumns({f"s_{k.lower()}": count(p) for k, p in buckets.items()}).drop("__low")
 
 
 def domain(docs: DataFrame, buckets: dict[str, tuple[str, ...]], digits: int) -> DataFrame:
@@ -76,7 +100,8 @@ def industrial_subtype(docs: DataFrame) -> DataFrame:
 
 def schema_cues(docs: DataFrame) -> DataFrame:
     """doc_id and whether commercial, technical and product fields belong in its draft schema."""
-    return docs.select("doc_id", *[F.lower("text").rlike("|".join(p)).alias(k) for k, p in CUES.items()])
+    low = F.col("__low")
+    return docs.withColumn("__low", F.lower("text")).select("doc_id", *[reduce(lambda a, b: a | b, [occurs(low, x) for x in p]).alias(k) for k, p in CUES.items()])
 
 
 def audited(docs: DataFrame, least: float = 0.75) -> DataFrame:
