@@ -31,8 +31,8 @@ from docloom.llm.common import chunks, components, cut, stars
 PLACES = 64  # minwise hashes
 TREES = 9
 NODE = 256  # documents that a node compares exhaustively
-BLOCK = 192  # documents of a group whose full sets one task compares with as many others
-PIVOTS = 48  # documents of a large group, about, that meet all the others
+BLOCK = 96  # documents of a group whose full sets one task compares with as many others
+PIVOTS = 24  # documents of a large group, about, that meet all the others
 LEVELS = 4
 COLUMNS = 4096  # shingles that an exact comparison takes at once
 #: Chance that the sketch filter misses a pair at the threshold.
