@@ -236,10 +236,10 @@ def kv_cells(words: DataFrame, tables: DataFrame, tolerance: float = 5, header:
     r = rows.groupBy("doc_id", "row_no").agg(wide.alias("is_header"), said(F.lit(True)).alias("whole"), said(left).alias("key"), said(~left).alias("value"))
     w = W.partitionBy("doc_id").orderBy("row_no")
     joins = ~F.col("is_header") & (F.col("key") == "") & (F.col("value") != "")
-    # a row joins the last cell if that is a value: rows that are headers or lack a value break the chain
-    anchor = F.last(F.when(~joins, F.struct("row_no", "is_header", "value")), ignorenulls=True).over(w)
-    r = r.withColumns({"joins": joins, "anchor": anchor})
-    continued = F.col("joins") & F.col("anchor").isNotNull() & ~F.coalesce(F.col("anchor.is_header"), F.lit(True)) & (F.coalesce(F.col("anchor.value"), F.lit("")) != "")
+    # a row joins the last cell if that is a value, be it the row's own or itself a continuation
+    valued = F.lag(~F.col("is_header") & (F.col("value") != "")).over(w)
+    r = r.withColumns({"joins": joins, "valued": F.coalesce(valued, F.lit(False))})
+    continued = F.col("joins") & F.col("valued")
     start = F.last(F.when(~continued, F.col("row_no")), ignorenulls=True).over(w)
     owned = r.withColumn("owner", start)
     no = F.dense_rank().over(W.partitionBy("doc_id").orderBy("owner")) - 1

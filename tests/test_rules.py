@@ -207,6 +207,67 @@ def test_kv_cells(spark):
     assert got == [(0, 0, "H" * 30, True), (1, 0, "k1", False), (1, 1, "v1 more", False), (2, 0, "k2", False), (2, 1, "v2", False)]
 
 
+def test_kv_cells_are_sequential(spark):
+    """Against the rule followed word row by word row."""
+    rng = random.Random(11)
+    data = [(d, i, f"w{i}", x := float(rng.choice([10, 40, 300, 330])), float(20 * rng.randint(0, 7)), x + rng.choice([20, 40, 280]), 0.0, 10.0, "Arial") for d in range(30) for i in range(rng.randint(4, 18))]
+    data = [(*r[:6], r[4] + 8, *r[7:]) for r in data]
+    w = spark.createDataFrame(data, "doc_id long, word_idx int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, fontname string")
+    t = w.select("doc_id").distinct().selectExpr("doc_id", "0D as t_x0", "0D as t_y0", "400D as t_x1", "160D as t_y1")
+    split = {r.doc_id: r.split for r in tables.column_split(w, t).collect()}
+    want = set()
+    for d, at in split.items():
+        rows = {}
+        for r in data:
+            if r[0] == d:
+                rows.setdefault(r[4], []).append(r)
+        cells, no = [], 0
+        for _, row in sorted(rows.items()):
+            row.sort(key=lambda r: (r[3], r[1]))
+            said = lambda part: " ".join(r[2] for r in part)
+            if (max(r[5] for r in row) - min(r[3] for r in row)) / 400 > 0.7:
+                cells.append([no, 0, said(row), True])
+                no += 1
+                continue
+            left, right = [r for r in row if (r[3] + r[5]) / 2 < at], [r for r in row if (r[3] + r[5]) / 2 >= at]
+            if right and not left and cells and cells[-1][1] == 1:
+                cells[-1][2] += " " + said(right)
+                continue
+            cells += [[no, c, said(part), False] for c, part in ((0, left), (1, right)) if part]
+            no += 1
+        want |= {(d, *c) for c in cells}
+    got = {(r.doc_id, r.row_no, r.col_no, r.text, r.is_header) for r in tables.kv_cells(w, t).collect()}
+    assert len(split) > 10 and got == want
+
+
+def test_merge_is_greedy(spark):
+    """Against the rule followed seed by seed."""
+    rng = random.Random(12)
+    kinds = ["caption", "title", "text", "table", "figure"]
+
+    def iou(a, b):
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        both = max(w, 0) * max(h, 0)
+        return both / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - both), both / ((b[3] - b[1]) * (b[4] - b[2]))
+
+    for _ in range(4):
+        rows = [(rng.choice(kinds), x := float(rng.randint(0, 50)), y := float(rng.randint(0, 50)), x + rng.randint(5, 40), y + rng.randint(5, 40), rng.randint(1, 99) / 100, "m") for _ in range(25)]
+        key = lambda r: (-r[5], -(r[3] - r[1]) * (r[4] - r[2]), rows.index(r))
+        left, out = sorted(rows, key=key), []
+        while left:
+            seed = left.pop(0)
+            taken = [r for r in left if iou(seed, r)[0] > 0.3 or iou(seed, r)[1] > 0.8]
+            left = [r for r in left if r not in taken]
+            best = next((r for r in taken if r[0] in ("title", "text", "table") and r[5] > 0.7), seed) if seed[0] == "caption" else seed
+            out.append((best[0], *seed[1:5], best[5], seed))
+        kept = []
+        for r in sorted(out, key=lambda r: (-r[5], -(r[3] - r[1]) * (r[4] - r[2]), rows.index(r[6]))):
+            if all(iou(k, r)[0] <= 0.3 for k in kept):
+                kept.append(r)
+        got = {(r.type, r.x0, r.y0, r.x1, r.y1, r.conf) for r in regions.merge_detections(boxes(spark, *rows)).collect()}
+        assert got == {r[:6] for r in kept}
+
+
 def test_tags_and_pipes(spark):
     assert one(spark, tables.cells_of_tags(F.col("v")), v="<ROW><P>a</P><C>b</C><V>1</V></ROW><ROW><P>c</P></ROW>") == [["a", "b", "1"], ["c", "", ""]]
     assert one(spark, tables.cells_of_tags(F.col("v")), v="| a | b |\n|---|---|\n| 1 |  |") == [["a", "b"], ["1", ""]]
