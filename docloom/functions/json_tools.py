@@ -148,6 +148,76 @@ def leaves(record: Any, path: str = "") -> list[tuple[str, Any]]:
     return [(path, record)]
 
 
+#: Other names that models give to fields.
+SYNONYMS = {
+    "art_no": ("article_number", "article_no", "part_number", "order_no"), "product_name": ("name", "title", "product"), "manufacturer": ("vendor", "maker", "brand"), "quote_no": ("quotation_number", "quote_number"),
+    "parameters": ("specs", "specifications", "technical_data"), "connectors": ("ports", "interfaces"), "standards": ("certifications", "norms"), "summary": ("description", "abstract"),
+}
+
+
+def renamed(record: dict, fields: list[str], synonyms: dict[str, tuple[str, ...]] | None = None) -> dict:
+    """A record's keys as the schema names them: the same but for case and underscores, else a synonym's. First come, first kept."""
+    squeeze = lambda n: re.sub(r"[^a-z0-9]", "", n.lower())
+    known = {squeeze(f): f for f in fields}
+    for name, others in (SYNONYMS if synonyms is None else synonyms).items():
+        if name in fields:
+            for other in others:
+                known.setdefault(squeeze(other), name)
+    out: dict = {}
+    for k, v in record.items():
+        out.setdefault(known.get(squeeze(str(k)), k), v)
+    return out
+
+
+def around(source: str, path: str, value: Any = None, reach: int = 400, most: int = 12_000) -> str:
+    """The part of a source about a value, where its letter triples are densest; else about its field's label; else the beginning."""
+    if len(source) <= 2 * reach:
+        return source[:most]
+    low, places = source.lower(), []
+    if isinstance(value, str) and len(value.strip()) >= 3:
+        v = value.strip().lower()
+        triples = [v[i : i + 3] for i in range(len(v) - 2)]
+        starts = [i for t in triples[:: max(1, len(v) // 6)] if t.strip() for i in _places(low, t)]
+        near = lambda i: sum(t in low[max(0, i - 30) : i + len(v) + 30] for t in triples)
+        places = [max(sorted(set(starts)), key=near)] if starts else []
+    name = re.escape(path.split(".")[-1].split("[")[0])
+    for pattern in (rf"\b{name}\s*[:\-]", rf"\b{name.replace('_', ' ')}\s*[:\-]", rf"\b{name}\b"):
+        if not places and len(name) >= 2:
+            places = [m.start() for m in re.finditer(pattern, source, re.IGNORECASE)][:2]
+    parts = {(max(0, p - reach) // 100, min(len(source), p + reach) // 100): source[max(0, p - reach) : p + reach] for p in reversed(sorted(places))}
+    return "\n...\n".join(parts[k] for k in sorted(parts))[:most] if parts else source[:most]
+
+
+def _places(text: str, part: str) -> list[int]:
+    return [m.start() for m in re.finditer(f"(?={re.escape(part)})", text)]
+
+
+def hint(kind: T.StructType, prefix: str = "") -> str:
+    """A schema's fields for a prompt, a line each: path, type and description."""
+    lines = []
+    for f in kind.fields:
+        path = f"{prefix}.{f.name}" if prefix else f.name
+        said = (f.metadata or {}).get("description")
+        if isinstance(f.dataType, T.StructType):
+            lines.append(hint(f.dataType, path))
+        else:
+            lines.append(f"{path}: {f.dataType.simpleString()}" + (f" - {said}" if said else ""))
+    return "\n".join(x for x in lines if x)
+
+
+def snapshot(record: dict, path: str, most: int = 2000) -> str:
+    """A record as JSON with one field marked to be found, and long lists cut."""
+    copy = json.loads(json.dumps(record))
+    put(copy, path, "<TO_FIND>")
+
+    def short(x: Any) -> Any:
+        if isinstance(x, list):
+            return [short(v) for v in x[:2]] + ([f"... {len(x) - 2} more"] if len(x) > 2 else [])
+        return {k: short(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    return json.dumps(short(copy), ensure_ascii=False)[:most]
+
+
 def dereferenced(schema: Any, root: dict | None = None, seen: tuple[str, ...] = ()) -> Any:
     """A schema with its references put in; a reference within itself becomes an open object."""
     root = schema if root is None else root

@@ -219,3 +219,14 @@ def sample_of(text: Column, most: int = 8000) -> Column:
     middle = text.substr((n / 2).cast("int") - rest // 2 + 1, F.lit(rest))
     parts = F.concat(F.substring(text, 1, head), F.lit("\n[...middle...]\n"), middle, F.lit("\n[...tail...]\n"), text.substr(n - rest + 1, F.lit(rest)))
     return F.when(n <= most, text).otherwise(parts)
+
+
+def hex_colour(red: Column, green: Column, blue: Column) -> Column:
+    """#rrggbb of shares from 0 to 1."""
+    part = lambda c: F.lpad(F.lower(F.hex(F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 255))), 2, "0")
+    return F.concat(F.lit("#"), part(red), part(green), part(blue))
+
+
+def passed_through(raw: Column) -> Column:
+    """The envelope of a value that is not normalised."""
+    return F.struct(F.lit(None).cast("double").alias("norm_double"), raw.cast("string").alias("norm_string"), F.lit("bypass").alias("rule"), F.lit(1.0).alias("confidence"), raw.isNull().alias("unresolved"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -45,7 +46,25 @@ class RuleProvider:
         return out
 
 
-PROVIDERS = {"null": NullProvider, "rule": RuleProvider}
+class HttpProvider:
+    """Posts prompts to a JSON endpoint that the options name; a request that fails answers nothing."""
+
+    name = "http"
+
+    def answers(self, texts: list[str], *, url: str, model: str = "", field: str = "response", timeout: float = 30, **options) -> list[str | None]:
+        return [self._one(t, url, model, field, timeout, options) for t in texts]
+
+    @staticmethod
+    def _one(text: str, url: str, model: str, field: str, timeout: float, options: dict) -> str | None:
+        body = json.dumps({"model": model, "prompt": text, "stream": False, **options}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as reply:
+                return json.loads(reply.read()).get(field)
+        except (OSError, ValueError):
+            return None
+
+
+PROVIDERS = {"null": NullProvider, "rule": RuleProvider, "http": HttpProvider}
 
 
 def register(name: str, provider: type) -> None:

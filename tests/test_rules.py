@@ -365,6 +365,21 @@ def test_schemas():
     assert js.example({"properties": {"a": {"type": "array", "items": {"type": "integer"}}}}) == {"a": [0]} and js.field_names(s) >= {"n", "pins", "pin", "signal"}
 
 
+def test_prompts():
+    assert js.renamed({"Art No": 1, "specs": 2, "x": 3, "article_number": 4}, ["art_no", "parameters"]) == {"art_no": 1, "parameters": 2, "x": 3}
+    source = "a" * 900 + " serial: QX-123 " + "b" * 900
+    assert "QX-123" in js.around(source, "item.serial", "QX-128", 50) and "QX-123" in js.around(source, "item.serial", None, 50) and js.around(source, "none", None, 50, 100) == "a" * 100
+    assert js.around("short", "x") == "short" and js.around("", "x") == ""
+    kind = js.compiled({"properties": {"a": {"type": "integer", "description": "how many"}, "o": {"type": "object", "properties": {"b": "string"}}}}, False)
+    assert js.hint(kind).split("\n")[:2] == ["a: bigint - how many", "o.b: string"]
+    assert json.loads(js.snapshot({"a": {"b": 1}, "l": [1, 2, 3]}, "a.b")) == {"a": {"b": "<TO_FIND>"}, "l": [1, 2, "... 1 more"]}
+
+
+def test_colours_and_bypass(spark):
+    assert one(spark, tx.hex_colour(F.lit(0.0), F.lit(0.5), F.lit(1.0)), v="x") == "#007fff"
+    assert one(spark, tx.passed_through(F.col("v")), v="x")["norm_string"] == "x"
+
+
 def test_registry(spark):
     assert {r.domain: r.family for r in routing.registry(spark).collect()} == routing.FAMILIES
     assert one(spark, routing.family(F.col("v")), v="Industrial") == "hardware_v1" and one(spark, routing.family(F.col("v")), v="Corporate") == "invoice_v1" and one(spark, routing.family(F.col("v")), v="?") == "general_v1"
