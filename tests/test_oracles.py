@@ -58,3 +58,10 @@ def test_entry():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(QUERIES) > 100
+
+
+@pytest.mark.parametrize("name", ["hkg_nodes", "hkg_summary", "nms", "reading_order", "extraction_batches_atomic"])
+def test_one_shuffle(spark, name):
+    """Scans over a document's rows deal them out once."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
