@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.spans import count, listed, overlapping, spans
+from docloom.llm.spans import count, listed, spans
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
@@ -22,6 +22,8 @@ BASE = ("assign", "access", "hex")
 WINDOW = 20
 #: Least entropy, in bits a character, of the best window, by character class.
 HEX_BITS, MIXED_BITS = 3.2, 3.8
+#: The same for upper-case letters and digits, lower-case letters and digits, letters of both cases, letters of one.
+UPPER_BITS, LOWER_BITS, LETTER_BITS, CASE_BITS = 3.5, 3.5, 3.85, 3.65
 #: Candidates that are no secrets: placeholders, sample keys, universally unique identifiers.
 ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0{8}|1234567|abcdefg|\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 LOW, SLOTS = 43, 80  # codes of + to z
@@ -58,7 +60,12 @@ def dense(m: Column, _: Column) -> Column:
     most = lambda bits: WINDOW * (math.log2(WINDOW) - bits)
     hexadecimal = m.rlike(r"\A[0-9A-Fa-f]+\z") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]")
     mixed = m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
-    return F.when((hexadecimal | mixed) & ~m.rlike(ALLOWED), least_sum(m) <= F.when(hexadecimal, most(HEX_BITS)).otherwise(most(MIXED_BITS))).otherwise(False)
+    upper = m.rlike(r"\A[A-Z0-9]+=*\z") & m.rlike("[0-9]") & m.rlike("[A-Z]")
+    lower = m.rlike(r"\A[a-z0-9]+=*\z") & m.rlike("[0-9]") & m.rlike("[a-z]")
+    letters = m.rlike(r"\A[A-Za-z]+=*\z")
+    both = letters & m.rlike("[a-z]") & m.rlike("[A-Z]")
+    least = F.when(hexadecimal, most(HEX_BITS)).when(mixed, most(MIXED_BITS)).when(upper, most(UPPER_BITS)).when(lower, most(LOWER_BITS)).when(both, most(LETTER_BITS)).when(letters, most(CASE_BITS))
+    return F.when(least.isNotNull() & ~m.rlike(ALLOWED), least_sum(m) <= least).otherwise(False)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def marked(docs: DataFrame) -> DataFrame:
     )
     more = spans(text, CANDIDATE, "entropy", 3, dense)
     read = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumns({"__base": base, "__more": more})
-    new = F.filter("__more", lambda m: ~F.exists("__base", lambda b: overlapping(m, b)))
+    new = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["begin"] <= m["begin"]) & (m["end"] <= b["end"])))
     return read.withColumn("__spans", F.sort_array(F.concat("__base", new))).drop("__text", "__base", "__more")
 
 
@@ -81,7 +88,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans: array of (begin, rank, end, kind, match, group), for every row of docs(doc_id, text).
 
     Places are code points, ends exclusive, over the whole text. Base kinds stay as matched; an
-    entropy span is added where no base span overlaps it. A null or empty text has no spans;
+    entropy span is added unless one base span covers all of it. A null or empty text has no spans;
     repeated rows are judged each by itself; an empty table gives no rows. No shuffle, no Python.
     """
     return marked(docs.select("doc_id", "text")).select("doc_id", F.col("__spans").alias("spans"))
