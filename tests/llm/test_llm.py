@@ -386,6 +386,21 @@ def test_vectors_are_brute_force(spark, monkeypatch):
     assert [(r["n_links"], r["kept"]) for r in bad] == [(0, True)]
 
 
+@pytest.mark.parametrize("directions", [2, 3, 5])
+def test_vectors_that_vary_in_few_directions(directions):
+    """Of each pair at the threshold one side probes the other's list, however few directions differ."""
+    rng = np.random.default_rng(directions)
+    x = np.zeros((3000, 64))
+    x[:, : directions + 1] = rng.normal(size=(3000, directions + 1))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    ix = vector_dup.fit(x, 27)
+    home, probed = ix.home(x), np.zeros((len(x), 27), bool)
+    for i, lists in enumerate(ix.probes(x, 0.9)):
+        probed[i, lists] = True
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert len(a) > 1000 and (probed[a, home[b]] | probed[b, home[a]]).all()
+
+
 # --- licences
 
 
