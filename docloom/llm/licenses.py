@@ -4,6 +4,10 @@ Sparse word n-grams of a paragraph enter a multinomial logistic regression over
 and an unknown class. It is trained here, on variations of the templates below and of sentences
 that are no licences; a held-out part of the variations sets its temperature and the least
 probability. A predicted family counts only if enough word pairs of one of its templates occur.
+
+A paragraph is a line with words. Licence texts are often wrapped, so runs of lines that no empty
+line (or one of comment signs only) parts are judged jointly too, wherever a line alone declares
+nothing: at each line's end the shortest run that declares a licence counts for its first line.
 """
 
 from __future__ import annotations
@@ -80,6 +84,8 @@ CONFIRM = 0.6
 #: Share of held-out texts without a licence that the least probability may let through.
 FALSE_SHARE = 0.01
 VARIATIONS = 40
+#: Words of the first, the last and all inner lines that a run of lines is judged by; the longest template has fewer.
+SPAN = 60
 
 NO_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -196,21 +202,56 @@ def model(variations: int = VARIATIONS, seed: int = 11) -> Model:
     return Model(vocabulary, features, w / heat, b / heat, classes, least, pairs)
 
 
+def joint(m: Model, lines: list[list[int | None]], said: bool) -> tuple[int, str, float] | None:
+    """First line, family and probability of the shortest run of at least two lines, ending with the last one, that declares one.
+
+    said: the first line belongs to a licence already found; what it holds of that one alone does not count again.
+    """
+    last = lines[-1][:SPAN]
+    inner: list[int | None] = []
+    for i in range(len(lines) - 2, -1, -1):
+        run = [*lines[i][-SPAN:], *inner, *last]
+        have = set(zip(run, run[1:]))  # noqa: B905
+        if any(len(t & have) >= CONFIRM * len(t) for ts in m.pairs.values() for t in ts):
+            name, chance, _ = m.judge(run)
+            alone = set(zip(lines[0], lines[0][1:])) if said and i == 0 else set()  # noqa: B905
+            if name != UNKNOWN and not any(len(t & alone) >= CONFIRM * len(t) for t in m.pairs[name]):
+                return i, name, chance
+        inner = [*lines[i], *inner]
+        if len(inner) > SPAN:
+            break
+    return None
+
+
 def licences(text: bytes | None) -> tuple[int, list[tuple[str, int, float]]]:
     """Number of paragraphs (lines with words) and (family, paragraph, probability) of those that declare one."""
     m = model()
     get = m.vocabulary.get
     n, found = 0, []
+    run: list[list[int | None]] = []  # the lines since an empty one, or from the last of a declared licence
+    said = False
     for line in text.split(b"\n") if text else []:
         tokens = words(line)
         if not tokens:
+            run, said = [], False
             continue
         ids = list(map(get, tokens))
+        run.append(ids)
+        paired = any(a is not None and b is not None for a, b in zip(ids, ids[1:]))  # noqa: B905
+        got = None
         # no template has fewer than one pair of known words, so other paragraphs cannot be confirmed
-        if any(a is not None and b is not None for a, b in zip(ids, ids[1:])):  # noqa: B905
+        if paired:
             name, chance, _ = m.judge(ids)
             if name != UNKNOWN:
-                found.append((name, n, chance))
+                got = (len(run) - 1, name, chance)
+        # a run adds something only where its last line adds a pair of known words
+        if got is None and len(run) > 1 and (paired or ids[0] is not None and run[-2][-1] is not None):
+            got = joint(m, run, said)
+        if got is not None:
+            found.append((got[1], n + 1 - len(run) + got[0], got[2]))
+            run, said = [ids], True
+        elif len(run) > SPAN + 2:  # each line has a word, so a run is no longer
+            run, said = run[-SPAN - 2 :], False
         n += 1
     return n, found
 
@@ -219,7 +260,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, families, found for every row of docs(doc_id, text).
 
     families: those declared, sorted, comma-joined, null for none; found: family:paragraph of each
-    declaring paragraph, from 0, comma-joined. A null or empty text has no paragraphs; repeated
+    declaring paragraph (a wrapped text's first line), from 0, comma-joined. A null or empty text has no paragraphs; repeated
     rows are judged each by itself; an empty table gives no rows; other columns are not read.
     Every paragraph of every text is judged; no shuffle.
     """

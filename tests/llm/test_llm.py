@@ -424,6 +424,26 @@ def test_licence_templates_name_themselves():
     assert not any(licenses.licences(s.encode())[1] for s in licenses.OTHERS)
 
 
+def test_wrapped_licences():
+    """Texts wrapped at usual widths, with and without comment signs, declare the family on one line of theirs."""
+    texts = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either",
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights',
+    }
+    go = "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."
+    for family, text in [*texts.items(), ("bsd", go)]:
+        for leader in ("", "# ", "// ", " * "):
+            wrapped = "Some prose stands here.\n\n" + "\n".join(leader + x for x in text.split("\n")) + "\n\nMore prose."
+            n, found = licenses.licences(wrapped.encode())
+            assert n == 3 + text.count("\n") and [(f, i) for f, i, _ in found] == [(family, 1)], (family, leader, found)
+    both = licenses.licences(("Licensed under CC BY 4.0. " + go + "\nMore prose.").encode())[1]
+    assert [(f, i) for f, i, _ in both][-1] == ("bsd", 0) and len(both) <= 2
+    assert [(f, i) for f, i, _ in licenses.licences(b"Released under the MIT License.\nThe river is far.\nSo is the sea.")[1]] == [("mit", 0)]
+    assert not licenses.licences("\n".join(licenses.OTHERS).encode())[1]
+    assert not licenses.licences(go.replace("\n", "\n\n").encode())[1]
+
+
 # --- the pipeline
 
 
