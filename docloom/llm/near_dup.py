@@ -2,10 +2,11 @@
 
 A document is the set of its word shingles; of the set's minwise hashes, a path chooses some. A
 node of a tree is a path: its documents agree in every chosen minwise token. At each node one
-token place is chosen, and a second one with such a chance that two documents at the threshold
-stay together in one child on average. Nodes of few documents are compared exhaustively; larger
-ones branch again. Independent trees repeat this, so that a pair at the threshold is missed by all
-with a chance below one in a million. Documents that still crowd a node at the last level are
+token place is chosen, and at the root a second one with such a chance that two documents at the
+threshold stay together in one child on average. Nodes of few documents are compared exhaustively;
+larger ones branch again, always by two places, since at one child on average a line dies out sooner
+or later. Independent trees repeat this, so that a pair at the threshold is missed by all with a
+chance below one in a million, in crowded nodes after all LEVELS choices too. Documents that still crowd a node at the last level are
 compared in pairs of blocks, so no node is capped.
 
 Comparisons within a node use eight-bit minwise sketches and name candidates as stars around the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import chunks, components, cut, stars
 
 PLACES = 64  # minwise hashes
-TREES = 9
+TREES = 10
 NODE = 256  # documents that a node compares exhaustively
 BLOCK = 96  # documents of a group whose full sets one task compares with as many others
 PIVOTS = 24  # documents of a large group, about, that meet all the others
@@ -133,7 +134,15 @@ def sketched(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, fp binary, sketch binary, paths array<bigint>")
 
 
-def _branches(crowded: DataFrame, similarity: float) -> DataFrame:
+def children(path: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, each twice, and their nodes below crowded nodes, for sketches low."""
+    first, second, _ = _chosen(path, 1.0)
+    row = np.tile(np.arange(len(path)), 2)
+    place = np.concatenate([first, second])
+    return row, _child(path[row], place, low[row, place])
+
+
+def _branches(crowded: DataFrame) -> DataFrame:
     """(node, id) of the next level for (node, id, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +151,13 @@ def _branches(crowded: DataFrame, similarity: float) -> DataFrame:
                 continue
             low = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, PLACES)
             path = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            first, second, taken = _chosen(path, similarity)
-            rows = np.arange(len(path))
-            more = rows[taken]
-            row = np.concatenate([rows, more])
-            place = np.concatenate([first, second[taken]])
-            node = _child(path[row], place, low[row, place])
+            row, node = children(path, low)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(1).take(pa.array(row))], names=["node", "id"])
 
     return crowded.select("node", "id", "sketch").mapInArrow(run, "node bigint, id bigint")
 
 
-def leaves(sets: DataFrame, similarity: float) -> DataFrame:
+def leaves(sets: DataFrame) -> DataFrame:
     """(node, side, id, sketch) of the nodes to compare, for sets (id, sketch, paths).
 
     side: 0 in a node to compare within; in a pair of blocks the block, 1 or 2. Nodes of one
@@ -172,7 +176,7 @@ def leaves(sets: DataFrame, similarity: float) -> DataFrame:
             break
         crowded = shared.where(F.col("n") > NODE)
         if level < LEVELS - 1:
-            at = _branches(crowded, similarity)
+            at = _branches(crowded)
             continue
         blocks = F.ceil(F.col("n") / NODE).cast("int")
         own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
@@ -313,7 +317,7 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
 def _components(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(node, component) of the linked ones among reps (id, sketch, paths), one for each distinct set."""
     similarity = num / den
-    groups = components(_proposed(leaves(reps, similarity), least_equal(similarity)))
+    groups = components(_proposed(leaves(reps), least_equal(similarity)))
     return components(_linked(cut(_sets(docs, groups.select(F.col("node").alias("id"), F.col("component").alias("group")), size)), num, den))
 
 

@@ -285,6 +285,21 @@ def test_near_dup_is_brute_force(spark, size, num, monkeypatch):
     assert got == jaccard_components(texts, size, num, 100)
 
 
+@pytest.mark.parametrize("similarity", [0.85, 0.8])
+def test_crowded_pairs_stay_together(similarity):
+    """Of 10 000 pairs at the threshold all share a node after every choice, though each node is crowded."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 256, (10_000, near_dup.PLACES)).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < similarity, a, a ^ 1)
+    x, y = (np.concatenate([near_dup.paths(low, similarity) for low in z]).view(np.uint64) for z in (a, b))
+    row, path = np.repeat(np.arange(len(a)), len(x) // len(a))[x == y], x[x == y]
+    for _ in range(near_dup.LEVELS - 1):
+        assert len(np.unique(row)) == len(a)
+        (k, x), (_, y) = near_dup.children(path, a[row].astype(np.uint8)), near_dup.children(path, b[row].astype(np.uint8))
+        row, path = row[k[x == y]], x[x == y]
+    assert len(np.unique(row)) == len(a)
+
+
 def test_near_dup_odd(spark, odd, none):
     got = rows(near_dup.deduplicate(odd))
     assert len(got) == len(ODD)
