@@ -10,8 +10,8 @@ selects, and the weights are refined block by block while a text is read.
 Training gathers, over all training texts: token counts (a distributed table of any size), a
 voted successor for every context slot, and hits and trials for every predictor slot, with the
 mixing weights learned online along the way. Slots are fixed in number, so those tables have a
-bound whatever the corpus; candidates come from three quarters of the training texts, statistics
-and weights from the rest, so that no text judges its own candidates.
+bound whatever the corpus. Every training text votes and every one is judged: each half judges the
+candidates of the other one, so that no text judges its own, and both halves' statistics are summed.
 """
 
 from __future__ import annotations
@@ -246,9 +246,9 @@ class Mixer:
             self.moved += step**2
             self.weights += 0.2 * step / np.sqrt(self.moved)
         for i in range(PREDICTORS):
-            cell = (d.which * PREDICTORS + i) * CELLS + d.cells[:, i]
-            self.trials += np.bincount(cell, minlength=len(self.trials))
-            self.hits += np.bincount(cell[d.hit], minlength=len(self.trials))
+            cell = d.which * CELLS + d.cells[:, i]
+            for table, at in ((self.trials, cell), (self.hits, cell[d.hit])):
+                table.reshape(DECISIONS, PREDICTORS, CELLS)[:, i] += np.bincount(at, minlength=DECISIONS * CELLS).reshape(DECISIONS, CELLS)
         self.bits += len(d.at)
 
 
@@ -384,8 +384,8 @@ def _voted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(token).reshape(2, SLOTS), np.concatenate(votes).reshape(2, SLOTS)
 
 
-def _mixed(docs: DataFrame, candidates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """trials, hits and weights."""
+def _mixed(docs: DataFrame, candidates) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """trials, hits, weights and the number of decisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Mixer()
@@ -400,11 +400,27 @@ def _mixed(docs: DataFrame, candidates) -> tuple[np.ndarray, np.ndarray, np.ndar
     rows = _merged(_passed(docs, run, "part int, blob binary"), _Sums())
     m = Mixer()
     if not rows:
-        return m.trials, m.hits, m.weights
+        return m.trials, m.hits, m.weights, 0.0
     tables = [np.frombuffer(bytes(r.blob), np.float64).reshape(2, -1) for r in rows[:-1]]
     last = np.frombuffer(bytes(rows[-1].blob), np.float64)
     both = np.concatenate(tables, axis=1).astype(np.int64)
-    return both[0], both[1], (last[1:] / last[0]).reshape(GATES, INPUTS)
+    return both[0], both[1], (last[1:] / last[0]).reshape(GATES, INPUTS), float(last[0])
+
+
+def _learned(training: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """voted and votes of all training texts; trials, hits and weights, each half judging the other one's candidates."""
+    half = F.pmod(F.xxhash64("doc_id", F.lit("judge")), F.lit(2))
+    halves = [training.where(half == i) for i in (0, 1)]
+    ballots = [_voted(h) for h in halves]
+    found = []
+    for h, (voted, votes) in zip(halves, reversed(ballots), strict=True):
+        sent = training.sparkSession.sparkContext.broadcast(Candidates(voted, confidence(votes)))
+        found.append(_mixed(h, sent))
+    both = _Ballots()(tuple(x.ravel() for x in ballots[0]), _Ballots.pack(ballots[1]))
+    voted, votes = (x.reshape(2, SLOTS) for x in both)
+    (t0, h0, w0, n0), (t1, h1, w1, n1) = found
+    weights = (w0 * n0 + w1 * n1) / (n0 + n1) if n0 + n1 else w0
+    return voted, votes, t0 + t1, h0 + h1, weights
 
 
 def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -462,16 +478,14 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     held = F.coalesce(fold(folds=folds) == 1, F.lit(False))
     training = docs.where(~held)
-    judges = F.pmod(F.xxhash64("doc_id", F.lit("judge")), F.lit(4)) == 0
     counts = cut(_counted(training))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     floor = float(np.log10(n + 0.5 * (v + 1)))
     keys, c = _head(counts)
     by_short = dict(zip(short(keys).tolist(), ((c + 0.5) / 10**floor).tolist(), strict=True))
-    voted, votes = _voted(training.where(~judges))
+    voted, votes, trials, hits, weights = _learned(training)
     share = np.array([by_short.get(t, 0.0) for t in voted.ravel().tolist()]).reshape(voted.shape)
     candidates = sc.broadcast(Candidates(voted, confidence(votes), share))
-    trials, hits, weights = _mixed(training.where(judges), candidates)
     known = sc.broadcast((keys, c, odds(trials, hits), weights))
     kind = dict(docs.dtypes)["doc_id"]
 

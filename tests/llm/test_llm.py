@@ -345,6 +345,21 @@ def test_lm(spark, odd, none):
     assert rows(lm_score.score(none)) == []
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} x y z") for i in range(200)], "doc_id long, text string")
+    seen = {"_voted": [], "_mixed": []}
+    for name, ids in seen.items():
+
+        def spied(d, *rest, ids=ids, real=getattr(lm_score, name)):
+            ids += [r.doc_id for r in d.select("doc_id").collect()]
+            return real(d, *rest)
+
+        monkeypatch.setattr(lm_score, name, spied)
+    lm_score.score(docs)
+    training = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert sorted(seen["_voted"]) == training and sorted(seen["_mixed"]) == training
+
+
 def test_lm_is_a_distribution():
     """The outcomes of one token's decisions and its escape have probabilities of 1 together."""
     words = lm_score.Lexicon()
