@@ -133,22 +133,25 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_cha
     return out
 
 
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
 def _scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+    """docs(doc_id, text, n_words, spans, items) with what these items add."""
     get = _machine(docs, items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = get()
         for b in batches:
             n, spans, names = [], [], []
-            for text in b.column(1).to_pylist():
+            for text, held, known in zip(*(b.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
                 k, found, items = machine.search(text)
                 n.append(k)
-                spans.append([{"begin": x, "end": y} for x, y in found])
-                names.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+                spans.append([{"begin": x, "end": y} for x, y in merged([*found, *((h["begin"], h["end"]) for h in held)])])
+                names.append(sorted(items.union(known)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -156,22 +159,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_
 
     The benchmark's size is summed first. Up to shard_chars it goes to the workers whole and the
     documents are read once without a shuffle; a larger one is dealt into shards by a hash of the
-    item, each is searched likewise, and the ranges are united per document.
+    item, searched one after the other in the same pass, and the ranges are united row by row.
 
     A null or empty text has no words and no spans; items without an id or words are left out;
-    repeated items count once by id; repeated documents are rows of their own with one shard and
-    must have distinct ids for more. Empty tables give no rows or no hits. Other columns are not read.
+    repeated items count once by id; repeated documents and those without an id are rows of their own,
+    however many shards there are. Empty tables give no rows or no hits. Other columns are not read.
     """
-    parts = [_scan(docs, items, window) for items in _shards(benchmark, shard_chars)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p.where(F.size("spans") > 0))
-    united = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    last = "element_at(acc, -1)"
-    spans = F.expr(f"aggregate(s, cast(array() as array<struct<begin:bigint,end:bigint>>), (acc, x) -> if(size(acc) > 0 and x.begin <= {last}.end, concat(slice(acc, 1, size(acc) - 1), array(named_struct('begin', {last}.begin, 'end', greatest({last}.end, x.end)))), concat(acc, array(x))))")
-    return united.select("doc_id", "n_words", spans.alias("spans"), "items")
+    out = docs.select(
+        "doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+        F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"),
+    )
+    for items in _shards(benchmark, shard_chars):
+        out = _scan(out, items, window)
+    return out.drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -82,6 +82,13 @@ def test_overlaps(spark, odd, none):
     assert {r["contaminated"] for r in rows(decontaminate.digest(decontaminate.overlaps(odd, bench.limit(0))))} == {False}
 
 
+def test_overlaps_keep_rows_with_shards(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "x"), (7, "d e f"), (7, "d e f"), (7, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "d e f", "g h i", "j k l"])], "item_id long, text string")
+    one, many = (sorted(map(str, rows(decontaminate.overlaps(docs, items, window=3, shard_chars=n)))) for n in (10**6, 4))
+    assert len(many) == 5 and many == one
+
+
 # --- packing
 
 
