@@ -27,10 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
     return path or sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether a query's shuffle files go when it has ended.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows computed now and kept in the shared folder: lost executors do not lose them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows computed now and kept in the shared folder: lost executors do not lose them.
+
+    What was shuffled on the way is removed at once. The session's settings stay as they were.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query of its own, whose shuffles nothing else reads
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
