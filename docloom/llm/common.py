@@ -88,21 +88,56 @@ def stars(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+#: Edges, about, that one task connects on its own: some dozen MB.
+EDGES = 200_000
+
+
+def _connected(edges: DataFrame, tasks: int) -> DataFrame:
+    """(node, label): what the edges (a, b) within each of so many tasks connect, named by its smallest node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for g in batches:
+            for a, b in zip(g["a"].tolist(), g["b"].tolist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        for i in range(0, len(nodes), 10_000):
+            yield pd.DataFrame({"node": nodes[i : i + 10_000], "label": [root(x) for x in nodes[i : i + 10_000]]})
+
+    return edges.coalesce(tasks).mapInPandas(run, "node bigint, label bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each end of an edge (a, b) reaches.
 
-    Minimum labels travel along the edges and pointers are shortened, so the rounds grow with the
-    logarithm of a component's width. Aggregations combine on the map side; each join reads two
-    tables already written, so that adaptive execution can split a hub's rows.
+    Tasks of a bounded number of edges connect what they hold; if there are several, what they found
+    are edges again. On those, minimum labels travel along the edges, and from each node's label to
+    the node, so that the rounds grow with the logarithm of a component's width. Aggregations
+    combine on the map side; each join reads two tables already written, so that adaptive
+    execution can split a hub's rows.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges = cut(edges.select("a", "b").distinct())
+    tasks = max(1, -(-edges.count() // EDGES))
+    forest = cut(_connected(edges, tasks))
+    if edges.coalesce(tasks).rdd.getNumPartitions() <= 1:
+        return forest.select("node", F.col("label").alias("component"))
+    own = F.struct(F.col("node").alias("a"), F.col("label").alias("b"))
+    both = cut(forest.select(F.explode(F.array(own, F.struct(F.col("label").alias("a"), F.col("node").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     state = None
     while True:
-        heard = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-        low = cut(heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
-        up = low.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        labels = cut(low.join(up, low.label == up.at).select("node", F.least("label", "next").alias("label")))
+        ways = both.unionByName(labels.where("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b")))
+        at = labels.select(F.col("node").alias("at"), "label")
+        heard = ways.join(at, ways.a == at["at"]).select(F.col("b").alias("node"), "label")
+        labels = cut(heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
         if now == state:
             return labels.select("node", F.col("label").alias("component"))

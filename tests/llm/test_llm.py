@@ -276,6 +276,7 @@ def jaccard_components(texts, size, num, den):
 @pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
 def test_near_dup_is_brute_force(spark, size, num, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE", 8)  # nodes branch, and crowd at the last level
+    monkeypatch.setattr(near_dup, "FEW", 16)
     monkeypatch.setattr(near_dup, "BLOCK", 6)
     monkeypatch.setattr(near_dup, "PIVOTS", 2)
     rng = random.Random(size)
@@ -317,7 +318,39 @@ def test_near_dup_odd(spark, odd, none):
     assert rows(near_dup.deduplicate(none)) == []
 
 
-def test_components(spark):
+def test_near_dup_of_any_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "other")
+    docs = [("b", text), ("a", near), ("c", text), ("c", text), ("a", "not alike at all in any word"), ("d", None), ("d", ""), (None, text)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = rows(near_dup.deduplicate(df))
+    assert sorted((r["doc_id"] or "", r["component_id"] or "", r["kept"]) for r in got) == sorted([("b", "a", False), ("a", "a", True), ("c", "a", False), ("c", "a", False), ("a", "a", True), ("d", "d", True), ("d", "d", True), ("", "", True)])
+    kept = rows(near_dup.representatives(df))
+    assert sorted((r["doc_id"] or "", r["text"] or "") for r in kept) == sorted([("a", near), ("a", "not alike at all in any word"), ("d", ""), ("", text)])
+    assert rows(near_dup.representatives(df.limit(0))) == []
+
+
+def test_large_groups_deal_rows_in_proportion(spark):
+    """Near copies in a crowded node meet pivots: edges grow with the group, not with its square."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+
+    def group(n):
+        texts = []
+        for i in range(n):
+            w = list(base)
+            w[rng.randrange(120)] = f"n{i}"
+            texts.append((i, " ".join(w)))
+        sets = near_dup.sketched(spark.createDataFrame(texts, "doc_id long, text string"), 5, 0.8).select(F.col("doc_id").alias("id"), "sketch", "paths")
+        return sum(e.count() for e in near_dup.candidates(common.cut(sets), near_dup.least_equal(0.8)))
+
+    for n in (1000, 4000):
+        assert group(n) < 1.5 * near_dup.TREES * n
+
+
+@pytest.mark.parametrize("edges_in_a_task", [common.EDGES, 20])
+def test_components(spark, edges_in_a_task, monkeypatch):
+    monkeypatch.setattr(common, "EDGES", edges_in_a_task)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (200, 100)] + [(1000, 1001 + k) for k in range(50)]
     got = {r["node"]: r["component"] for r in rows(common.components(spark.createDataFrame(edges, "a long, b long")))}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 200: 100, **{1000 + k: 1000 for k in range(51)}}
