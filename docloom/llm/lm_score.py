@@ -1,17 +1,21 @@
 """Language-model scoring by logistic context mixing.
 
-A token is coded by up to three binary decisions: does it equal the candidate that followed this
-word before in the same text, the candidate of the hashed order-2 context, that of the order-1
-context? If none, it is coded by its smoothed unigram probability, with the candidates' shares
-taken out. Each decision's bit is predicted by several hashed contexts; their stretched
-probabilities are combined by weights that a gate (the decision and the candidate's confidence)
-selects, and the weights are refined block by block while a text is read.
-
-Training gathers, over all training texts: token counts (a distributed table of any size), a
-voted successor for every context slot, and hits and trials for every predictor slot, with the
-mixing weights learned online along the way. Slots are fixed in number, so those tables have a
-bound whatever the corpus. Every training text votes and every one is judged: each half judges the
-candidates of the other one, so that no text judges its own, and both halves' statistics are summed.
+A token is coded by up to three binary decisions: is it the candidate of the hashed order-2 context,
+the one that followed the last word before in the same text, the candidate of the hashed order-1
+context? Each decision's bit is predicted by several contexts: the counts behind the hashed
+contexts, whether candidates agree, which decisions met the last tokens, the place in the text. Their
+stretched probabilities are combined by weights that a gate (the decision and its candidate's count)
+selects, refined block by block while a text is read. With p of each decision and the unigram share
+U, P(w) = p1 [w = c1] + (1 - p1) (p2 [w = c2] + (1 - p2) (p3 [w = c3] + (1 - p3) U(w))), whose
+sum over all tokens is 1.
+
+What training gathers grows with the corpus: the counts of all tokens and of all successors of
+all order-1 and order-2 contexts, exact sums over every training text. Texts become portions of
+bounded size; a portion sends its distinct (context, successor) pairs to ranges of the contexts'
+hashes, where all portions' counts meet, and gets back each pair's candidate. A training text's own
+occurrence is left out of the counts that judge it. Predictors and weights are fitted on the counts
+of a fixed number of decision states, again summed over all training texts, so that no result
+depends on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,34 +36,35 @@ from docloom.llm.common import cut
 from docloom.llm.near_dup import mix
 from docloom.llm.quality import fold
 
-SLOTS = 1 << 18  # of a candidate table
-CELLS = 1 << 15  # of a predictor's table
-RANGES = 64  # parts in which tables are merged
-DECISIONS, PREDICTORS, CONFIDENCES = 3, 5, 8
+#: Bytes of text in a portion; a longer text is a portion of its own.
+PORTION = 4_000_000
+#: Portions for each range of context hashes: what one task holds stays the same at every size.
+PORTIONS_A_RANGE = 2
+DECISIONS = 3
+#: A context's state: none, or its candidate's count (1, 2, 3-4, 5-8, 9 on) by its share of the context (4 classes).
+STATES = 24
+AGREE, PAST, OLDER, PLACES = 16, 4, 2, 4
+JOINT = STATES * STATES * AGREE * PAST * OLDER * PLACES
+PREDICTORS = 5
 INPUTS = PREDICTORS + 1
-GATES = DECISIONS * CONFIDENCES
-#: Tokens whose counts every worker knows; the counts of rarer ones are joined.
-HEAD = 1 << 18
-#: Bytes of text that are held as arrays at once; a longer text is a portion of its own.
-PORTION = 400_000
+GATES = DECISIONS * 6
 BLOCK = 128  # tokens after which a text's weights are refined
 RATE = 0.02
 END, BEGIN = -1, -2
+COUNTS, FIRST, SECOND = range(3)  # what a range is asked for
 
 
 class Lexicon(dict):
-    """Words seen by this worker, numbered; their hashes, and a value of each that `look` finds. END is number 0."""
+    """Words seen by this worker, numbered, and their hashes. END is number 0."""
 
-    def __init__(self, look=None):
+    def __init__(self):
         super().__init__()
-        self.look = look or (lambda h: h)
         self.clear_all()
 
     def clear_all(self) -> None:
         self.clear()
         self[None] = 0
-        self.fresh = [END]
-        self.hash, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fresh, self.hash = [END], np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self)
@@ -70,39 +76,27 @@ class Lexicon(dict):
         if len(self) > 400_000:
             self.clear_all()
         parts, sizes = [], np.empty(len(texts), np.int64)
-        get, end = self.__getitem__, np.zeros(1, np.int64)
+        get, end = self.__getitem__, np.zeros(1, np.int32)
         for i, t in enumerate(texts):
             words = t.lower().split() if t else []
-            parts += (np.fromiter(map(get, words), dtype=np.int64, count=len(words)), end)
+            parts += (np.fromiter(map(get, words), dtype=np.int32, count=len(words)), end)
             sizes[i] = len(words) + 1
-        if self.fresh:
-            new = np.array(self.fresh, np.int64)
-            self.fresh = []
-            self.hash, self.value = np.concatenate([self.hash, new]), np.concatenate([self.value, self.look(new)])
-        return (np.concatenate(parts) if parts else end[:0]), sizes
-
+        self.hash = np.concatenate([self.hash, np.array(self.fresh, np.int64)])
+        self.fresh = []
+        return np.concatenate(parts), sizes
 
-def portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes | None]]]:
-    """The texts (last column) of a batch in runs of about PORTION bytes, with the first one's row."""
-    run, size, first = [], 0, 0
-    for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-        if run and size + len(t or b"") > PORTION:
-            yield first, run
-            run, size, first = [], 0, k
-        run.append(t)
-        size += len(t or b"")
-    if run:
-        yield first, run
 
+def packed(x: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
-def short(h: np.ndarray) -> np.ndarray:
-    """32 bits of a token's hash, never 0."""
-    return ((h >> 20) & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
 
-
-def bits(h: np.ndarray, salt: int, count: int) -> np.ndarray:
-    """A cell of `count` (a power of two) for each hash."""
-    return ((h * np.uint64((0x9E3779B97F4A7C15 * (2 * salt + 1)) % 2**64)) >> np.uint64(64 - (count - 1).bit_length())).astype(np.int64)
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    raw, width = zstandard.ZstdDecompressor().decompress(blob), np.dtype(kind).itemsize
+    if not raw:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
 def before(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -112,36 +106,6 @@ def before(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def confidence(votes: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(votes.astype(float) + 1), CONFIDENCES - 1).astype(np.uint8)
-
-
-class Votes:
-    """A voted successor for each slot of the order-1 and order-2 contexts."""
-
-    def __init__(self):
-        self.voted = np.zeros((2, SLOTS), np.uint32)
-        self.votes = np.zeros((2, SLOTS), np.int64)
-
-    def add(self, h: np.ndarray, sizes: np.ndarray) -> None:
-        _, _, first, second = contexts(h, sizes)
-        y = short(h).astype(np.uint64)
-        for k, slot in enumerate((bits(first, 0, SLOTS), bits(second, 1, SLOTS))):
-            key, n = np.unique((slot.astype(np.uint64) << np.uint64(32)) | y, return_counts=True)
-            self.merge(k, (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), n)
-
-    def merge(self, k: int, slot: np.ndarray, token: np.ndarray, n: np.ndarray) -> None:
-        order = np.lexsort((token, -n, slot))
-        slot, token, n = slot[order], token[order], n[order]
-        first = np.concatenate([[True], slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, bool)
-        slot, token, n = slot[first], token[first], n[first]
-        held, votes = self.voted[k, slot], self.votes[k, slot]
-        votes = np.where(held == token, votes + n, votes - n)
-        turned = votes < 0
-        self.voted[k, slot] = np.where(turned, token, held)
-        self.votes[k, slot] = np.abs(votes)
-
-
 def contexts(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The last token, the one before, and the hashes of the order-1 and order-2 contexts."""
     starts = np.cumsum(sizes) - sizes
@@ -151,323 +115,386 @@ def contexts(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return one, two, first, mix(first + two.view(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def pairs(context: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """40 bits of the context before 24 of its successor."""
+    return (context & ~np.uint64(0xFFFFFF)) | ((h.view(np.uint64) >> np.uint64(20)) & np.uint64(0xFFFFFF))
+
+
+def ranges(key: np.ndarray, count: int) -> np.ndarray:
+    """Where each of `count` ranges begins in sorted 64-bit keys, and the end."""
+    return np.searchsorted(key >> np.uint64(24), (np.arange(count + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(count))
+
+
 @dataclass
-class Decided:
-    """All binary decisions of some texts: the token's place, the decision, and what is known before it."""
+class Portion:
+    """Tokens of some texts by their number in the portion's own vocabulary of hashes."""
 
-    at: np.ndarray
-    which: np.ndarray
-    hit: np.ndarray
-    cells: np.ndarray  # decisions x predictors
-    gate: np.ndarray
-    escaped: np.ndarray  # tokens that no candidate met
-    freed: np.ndarray  # the candidates' unigram shares at each token
+    sizes: np.ndarray
+    tokens: np.ndarray
+    vocabulary: np.ndarray
+    train: np.ndarray  # a flag for each text
 
+    def __post_init__(self):
+        self.h = self.vocabulary[self.tokens]
+        self.training = np.repeat(self.train, self.sizes)
 
-@dataclass(frozen=True)
-class Candidates:
-    voted: np.ndarray  # 2 x SLOTS
-    sure: np.ndarray  # 2 x SLOTS, confidences
-    share: np.ndarray | None = None  # 2 x SLOTS, unigram probabilities
-
-    def decide(self, h: np.ndarray, sizes: np.ndarray, share: np.ndarray | None = None) -> Decided:
-        n, starts = len(h), np.cumsum(sizes) - sizes
-        one, two, first, second = contexts(h, sizes)
-        y = short(h)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        key = first + text.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        order = np.argsort(key, kind="stable")
-        again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) if n else np.zeros(0, int)
-        last = np.full(n, -1)
-        last[order[again + 1]] = order[again]
-        s1, s2 = bits(first, 0, SLOTS), bits(second, 1, SLOTS)
-        cands = [np.where(last >= 0, y[last], np.uint32(0)), self.voted[1, s2], self.voted[0, s1]]
-        seen = np.where(last >= 0, np.where(one == two, 2, 1), 0).astype(np.uint8)
-        sure = [seen, self.sure[1, s2], self.sure[0, s1]]
-        shares = None if share is None else [np.where(last >= 0, share[last], 0.0), self.share[1, s2], self.share[0, s1]]
-        live = [cands[0] > 0, (cands[1] > 0) & (cands[1] != cands[0]), (cands[2] > 0) & (cands[2] != cands[0]) & (cands[2] != cands[1])]
-        hits = [live[k] & (cands[k] == y) for k in range(DECISIONS)]
-        code = np.where(hits[0], 1, np.where(hits[1], 2, np.where(hits[2], 3, 0)))
-        past = np.concatenate([[0], code[:-1]]) if n else code
-        past[starts] = 0
-        older = np.concatenate([[0], past[:-1]]) if n else past
-        older[starts] = 0
-        place = np.log2(np.arange(n) - np.repeat(starts, sizes) + 1).astype(np.int64)
-        open_ = np.ones(n, bool)
-        parts: list[tuple] = []
-        for k in range(DECISIONS):
-            at = np.flatnonzero(open_ & live[k])
-            c = sure[k][at].astype(np.int64)
-            known = (cands[k][at].astype(np.uint64), first[at], second[at], (c * 16 + past[at] * 4 + older[at]).astype(np.uint64), (c * 64 + place[at] + 1024).astype(np.uint64))
-            cells = np.stack([bits(x, 8 + 8 * k + i, CELLS).astype(np.int32) for i, x in enumerate(known)], axis=1)
-            parts.append((at, np.full(len(at), k), hits[k][at], cells, k * CONFIDENCES + c))
-            open_ &= ~hits[k]
-        freed = np.zeros(n) if shares is None else sum(np.where(live[k], shares[k], 0.0) for k in range(DECISIONS))
-        return Decided(*(np.concatenate([p[i] for p in parts]) for i in range(5)), open_, np.minimum(freed, 0.9))
-
-
-def odds(trials: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """Every predictor cell's log odds of a hit."""
-    return np.log((hits + 0.4) / (trials - hits + 0.4)).astype(np.float32)
-
-
-def stretched(table: np.ndarray, d: Decided) -> np.ndarray:
-    """The predictors' log odds and a constant, for each decision."""
-    out = np.ones((len(d.at), INPUTS), np.float32)
-    for i in range(PREDICTORS):
-        out[:, i] = table[(d.which * PREDICTORS + i) * CELLS + d.cells[:, i]]
-    return out
+    def asked(self, kind: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the training tokens and of the others: distinct keys, sorted, which of them each token has, and how often each occurs."""
+        if kind == COUNTS:
+            key = mix(self.vocabulary.view(np.uint64))
+            order = np.argsort(key)
+            at = np.empty(len(order), np.int64)
+            at[order] = np.arange(len(order))
+            return [(key[order], at, np.bincount(self.tokens[self.training], minlength=len(order))[order])]
+        _, _, first, second = contexts(self.h, self.sizes)
+        key = pairs(first if kind == FIRST else second, self.h)
+        return [np.unique(key[m], return_inverse=True, return_counts=True) for m in (self.training, ~self.training)]
 
 
-def logistic(x: np.ndarray) -> np.ndarray:
-    return np.clip(1 / (1 + np.exp(-np.clip(x, -30, 30))), 1e-6, 1 - 1e-6)
+PORTIONS = "portion bigint, ids array<{kind}>, held array<boolean>, n_bytes array<bigint>, sizes binary, tokens binary, vocabulary binary"
 
 
-class Mixer:
-    """Weights by gate, and the predictors' counts, learned online over batches of texts."""
+def _portions(docs: DataFrame, most: int) -> DataFrame:
+    """The texts of docs(doc_id, held, text) in portions."""
+    kind = docs.schema["doc_id"].dataType
 
-    def __init__(self):
-        self.weights = np.full((GATES, INPUTS), 0.25)
-        self.weights[:, -1] = 0
-        self.moved = np.full((GATES, INPUTS), 1e-2)
-        self.trials = np.zeros(DECISIONS * PREDICTORS * CELLS, np.int64)
-        self.hits = np.zeros_like(self.trials)
-        self.bits = 0
-
-    def add(self, d: Decided) -> None:
-        if not len(d.at):
-            return
-        x = stretched(odds(self.trials, self.hits), d)
-        for part in np.array_split(np.arange(len(d.at)), max(1, len(d.at) // 4096)):  # predicted before it is learned
-            g, xs = d.gate[part], x[part]
-            error = d.hit[part] - logistic((xs * self.weights[g]).sum(1))
-            seen = np.maximum(np.bincount(g, minlength=GATES), 1)[:, None]
-            step = np.stack([np.bincount(g, error * xs[:, i], GATES) for i in range(INPUTS)], axis=1) / seen
-            self.moved += step**2
-            self.weights += 0.2 * step / np.sqrt(self.moved)
-        for i in range(PREDICTORS):
-            cell = d.which * CELLS + d.cells[:, i]
-            for table, at in ((self.trials, cell), (self.hits, cell[d.hit])):
-                table.reshape(DECISIONS, PREDICTORS, CELLS)[:, i] += np.bincount(at, minlength=DECISIONS * CELLS).reshape(DECISIONS, CELLS)
-        self.bits += len(d.at)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = Lexicon(), TaskContext.get().partitionId() << 33
+        ids, held, texts, size, id_type = [], [], [], 0, None
 
+        def portion() -> pa.RecordBatch:
+            tokens, sizes = words.read(texts)
+            used, own = np.unique(tokens, return_inverse=True)
+            blobs = [packed(sizes), packed(own.astype(np.int32)), packed(words.hash[used])]
+            columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([[len(t or b"") for t in texts]], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in blobs)]
+            return pa.RecordBatch.from_arrays(columns, names=["portion", "ids", "held", "n_bytes", "sizes", "tokens", "vocabulary"])
 
-def log_odds_cost(d: Decided, x: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of each decision's outcome; a text's weights are refined after each of its blocks."""
-    starts = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(sizes)), sizes)[d.at]
-    block = (d.at - starts[text]) // BLOCK
-    order = np.argsort(block, kind="stable")
-    own = np.repeat(weights[None], len(sizes), axis=0)
-    out = np.empty(len(d.at))
-    ends = np.searchsorted(block[order], np.arange(int(block.max(initial=-1)) + 2))
-    for a, b in zip(ends, ends[1:]):  # noqa: B905
-        i = order[a:b]
-        if not len(i):
-            continue
-        t, g, xs, hit = text[i], d.gate[i], x[i], d.hit[i]
-        p = logistic((xs * own[t, g]).sum(1))
-        out[i] = np.log10(np.where(hit, p, 1 - p))
-        error, cell = hit - p, t * GATES + g
-        seen = np.sqrt(np.maximum(1, np.bincount(cell, minlength=len(sizes) * GATES)))
-        for k in range(INPUTS):
-            step = np.bincount(cell, error * xs[:, k], len(seen)) / seen
-            own[:, :, k] += RATE * np.clip(step, -4, 4).reshape(len(sizes), GATES)
-    return out
+        for b in batches:
+            id_type = b.column(0).type
+            for i, out, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if texts and size + len(t or b"") > most:
+                    yield portion()
+                    number, ids, held, texts, size = number + 1, [], [], [], 0
+                ids.append(i)
+                held.append(out)
+                texts.append(t)
+                size += len(t or b"") + 8
+        if texts:
+            yield portion()
 
+    return docs.mapInArrow(run, PORTIONS.format(kind=kind.simpleString()))
 
-def _passed(docs: DataFrame, run, schema: str) -> DataFrame:
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
+def _each(b: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Token hashes and sizes of portions of texts."""
-    words = Lexicon()
-    for b in batches:
-        for _, texts in portions(b):
-            ids, sizes = words.read(texts)
-            yield words.hash[ids], sizes
 
+def _portion(row: dict) -> Portion:
+    return Portion(unpacked(row["sizes"], np.int64), unpacked(row["tokens"], np.int32), unpacked(row["vocabulary"], np.int64), ~np.array(row["held"], bool))
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(h, c) over all docs, END among them."""
+
+def _asked(portions: DataFrame, count: int) -> DataFrame:
+    """(key, kind, portion, train, times, others): what portions ask of each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Lexicon(), np.zeros(0, np.int64)
         for b in batches:
-            for _, texts in portions(b):
-                if len(words) > 400_000 and len(counts):
-                    yield pa.RecordBatch.from_arrays([pa.array(words.hash), pa.array(counts)], names=["h", "c"])
-                    words.clear_all()
-                    counts = counts[:0]
-                ids, _ = words.read(texts)
-                n = np.bincount(ids, minlength=len(words))
-                n[: len(counts)] += counts
-                counts = n
-        if len(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(words.hash), pa.array(counts)], names=["h", "c"])
-
-    return _passed(docs, run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+            for row in _each(b):
+                p = _portion(row)
+                for kind in (COUNTS, FIRST, SECOND):
+                    sets = p.asked(kind)
+                    cuts = [ranges(s[0], count) for s in sets]
+                    out = []
+                    for r in range(count):
+                        (a, z), (c, y) = (c[r : r + 2] for c in (cuts[0], cuts[-1]))
+                        others = sets[1][0][c:y] if len(sets) > 1 else np.zeros(0, np.uint64)
+                        if z > a or len(others):
+                            out.append((r * 3 + kind, kind, row["portion"], packed(np.diff(sets[0][0][a:z], prepend=np.uint64(0))), packed(sets[0][2][a:z]), packed(np.diff(others, prepend=np.uint64(0)))))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["key", "kind", "portion", "train", "times", "others"])
+
+    return portions.select("portion", "held", "sizes", "tokens", "vocabulary").mapInArrow(run, "key bigint, kind int, portion bigint, train binary, times binary, others binary")
+
+
+def state(most: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The candidate's count by its share of the context; 0 to 3 stand for none."""
+    share = most / np.maximum(total, 1)
+    return (np.searchsorted([1, 2, 3, 5, 9], most, side="right") * 4 + np.searchsorted([0.25, 0.6, 0.95], share, side="right")).astype(np.uint8)
+
+
+def candidates(train: np.ndarray, times: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each training pair and each other one: hit, state and 16 bits of the candidate, given all training pairs of a range.
+
+    The candidate is the most frequent successor, of equals the one of greatest hash; one
+    occurrence of a training pair is left out of the counts that it meets.
+    """
+    pair, own = np.unique(train, return_inverse=True)
+    n = np.bincount(own, times, len(pair)).astype(np.int64)
+    context = pair >> np.uint64(24)
+    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([begin, [len(pair)]]))
+    group = np.repeat(np.arange(len(begin)), size)
+    total = np.bincount(group, n, len(begin)).astype(np.int64)
+    order = np.lexsort((n, group))
+    best = order[begin + size - 1] if len(begin) else begin
+    next_ = np.where(size > 1, order[np.maximum(begin + size - 2, 0)], -1) if len(begin) else begin
+    g = group[own]
+    first, second = best[g], next_[g]
+    is_first = own == first
+    left = n[first] - is_first
+    other = np.where(second >= 0, n[second], 0)
+    turned = is_first & ((other > left) | ((other == left) & (second > first)))
+    cand, most = np.where(turned, second, first), np.where(turned, other, left)
+    place = np.searchsorted(context[begin], others >> np.uint64(24)) if len(begin) else np.zeros(len(others), np.int64)
+    place = np.minimum(place, max(0, len(begin) - 1))
+    known = context[begin][place] == others >> np.uint64(24) if len(begin) else np.zeros(len(others), bool)
+    at = best[place] if len(begin) else place
+    cand = np.concatenate([cand, at]).astype(np.int64)
+    most = np.concatenate([most, np.where(known, n[at] if len(begin) else 0, 0)])
+    totals = np.concatenate([total[g] - 1, np.where(known, total[place] if len(begin) else 0, 0)])
+    every = np.concatenate([train, others])
+    there = most > 0
+    token = pair[cand] if len(pair) else np.zeros(len(every), np.uint64)
+    return there & (token == every), state(most, totals), np.where(there, token & np.uint64(0xFFFF), 0).astype(np.uint16)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(portion, kind, key, answer, n, v): for each portion what it asked for, in its order; the tokens and kinds of each range."""
+
+    def answers(kind: int, rows: list[tuple]) -> Iterator[tuple]:
+        train = [np.cumsum(unpacked(r[2], np.uint64), dtype=np.uint64) for r in rows]
+        times = [unpacked(r[3], np.int64) for r in rows]
+        if kind == COUNTS:
+            _, own = np.unique(np.concatenate(train), return_inverse=True)
+            n = np.bincount(own, np.concatenate(times)).astype(np.int64)
+            yield -1, b"", int(n.sum()), int((n > 0).sum())
+            for r, part in zip(rows, np.split(n[own], np.cumsum([len(t) for t in train])[:-1]), strict=True):
+                yield r[1], packed(part), 0, 0
+            return
+        others = [np.cumsum(unpacked(r[4], np.uint64), dtype=np.uint64) for r in rows]
+        hit, seen, token = candidates(np.concatenate(train), np.concatenate(times), np.concatenate(others))
+        ends = np.cumsum([0, *(len(t) for t in train), *(len(t) for t in others)])
+        word = (hit.astype(np.uint32) << 24) | (seen.astype(np.uint32) << 16) | token
+        for i, r in enumerate(rows):
+            a, b = ends[i : i + 2], ends[len(rows) + i : len(rows) + i + 2]
+            yield r[1], packed(np.concatenate([word[slice(*a)], word[slice(*b)]])), 0, 0
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
 
-def _merged(parts: DataFrame, merge) -> list:
-    """Blobs by part, merged first in several groups of tasks and then once more; a bounded row for each part."""
+        def done() -> pd.DataFrame:
+            return pd.DataFrame([(p, key % 3, key, blob, n, v) for p, blob, n, v in answers(key % 3, held)], columns=["portion", "kind", "key", "answer", "n", "v"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
         for b in batches:
-            for k, blob in zip(b["key"], b["blob"], strict=True):
-                if k != key:
-                    if key is not None:
-                        yield pd.DataFrame({"part": [int(key.split(":")[0])], "blob": [merge.pack(state)]})
-                    key, state = k, None
-                state = merge(state, blob)
-        if key is not None:
-            yield pd.DataFrame({"part": [int(key.split(":")[0])], "blob": [merge.pack(state)]})
+            for row in b.itertuples(index=False, name=None):
+                if row[0] != key:
+                    if held:
+                        yield done()
+                    key, held = row[0], []
+                held.append(row)
+        if held:
+            yield done()
+
+    rows = asked.select("key", "portion", "train", "times", "others")
+    return rows.repartition("key").sortWithinPartitions("key", "portion").mapInPandas(run, "portion bigint, kind int, key bigint, answer binary, n bigint, v bigint")
+
+
+def decided(p: Portion, second: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each token its joint state, 20 bits, then 3 bits for live decisions, 2 for the one that meets it (1 to 3; 0 for none)."""
+    n, starts = len(p.h), np.cumsum(p.sizes) - p.sizes
+    text = np.repeat(np.arange(len(p.sizes)), p.sizes)
+    one = np.concatenate([[0], p.tokens[:-1] + 1]).astype(np.int64)
+    one[starts] = 0
+    key = text * (len(p.vocabulary) + 1) + one
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    last = np.full(n, -1)
+    last[order[again + 1]] = order[again]
+    seen, own = last >= 0, (p.h.view(np.uint64) >> np.uint64(20)).astype(np.uint16)
+    c2, c1, c0 = second.astype(np.uint16), first.astype(np.uint16), np.where(seen, own[last], 0).astype(np.uint16)
+    q2, q1 = (((x >> 16) & 0xFF).astype(np.int64) for x in (second, first))
+    there2, there1 = q2 > 3, q1 > 3
+    live = [there2, seen & ~(there2 & (c0 == c2)), there1 & ~(there2 & (c1 == c2)) & ~(seen & (c1 == c0))]
+    hits = [live[0] & (second >> 24 > 0), live[1] & (p.tokens[last] == p.tokens), live[2] & (first >> 24 > 0)]
+    code = np.where(hits[0], 1, np.where(hits[1], 2, np.where(hits[2], 3, 0)))
+    past = np.concatenate([[0], code[:-1]])
+    past[starts] = 0
+    older = np.concatenate([[0], past[:-1] > 0])
+    older[starts] = 0
+    place = np.searchsorted([8, 64, 512], np.arange(n) - np.repeat(starts, p.sizes), side="right")
+    agree = seen + 2 * (there2 & seen & (c2 == c0)) + 4 * (there1 & there2 & (c1 == c2)) + 8 * (there1 & seen & (c1 == c0))
+    joint = ((((q2 * STATES + q1) * AGREE + agree) * PAST + past) * OLDER + older) * PLACES + place
+    return (joint | (live[0] * 1 + live[1] * 2 + live[2] * 4) << 20 | code << 23).astype(np.uint32)
+
+
+def split(joint: np.ndarray) -> tuple[np.ndarray, ...]:
+    """q2, q1, agree, past, older and place of joint states."""
+    out = []
+    for base in (PLACES, OLDER, PAST, AGREE, STATES):
+        joint, rest = np.divmod(joint, base)
+        out.append(rest)
+    return joint, *out[::-1]
+
+
+def predictors(joint: np.ndarray) -> list[np.ndarray]:
+    """The cell of each predictor for joint states."""
+    q2, q1, agree, past, older, place = split(joint)
+    return [q2 * AGREE + agree, q1 * AGREE + agree, ((agree * PAST + past) * OLDER + older) * PLACES + place, q2 * STATES + q1, (q2 * PAST + past) * OLDER + older]
+
+
+def gates(k: int, joint: np.ndarray) -> np.ndarray:
+    """By the decision and the count of its candidate, or how the text's own one is backed."""
+    q2, q1, agree, *_ = split(joint)
+    return k * 6 + (q2 // 4 if k == 0 else q1 // 4 if k == 2 else np.minimum(agree >> 1, 5))
+
 
-    for groups in (16, 1):
-        key = F.concat_ws(":", "part", F.pmod(F.xxhash64("blob"), F.lit(groups)))
-        parts = parts.select("part", key.alias("key"), "blob").repartition("key").sortWithinPartitions("key").mapInPandas(run, "part int, blob binary")
-    return parts.orderBy("part").collect()
+@dataclass(frozen=True)
+class Model:
+    stretch: np.ndarray  # decisions x joint states x inputs
+    gate: np.ndarray  # decisions x joint states
+    weights: np.ndarray  # gates x inputs
 
 
-class _Ballots:
-    """Merges ranges of Votes: the votes of equal tokens add up, others cancel out."""
+def logistic(x: np.ndarray) -> np.ndarray:
+    return np.clip(1 / (1 + np.exp(-np.clip(x, -30, 30))), 1e-6, 1 - 1e-6)
 
-    @staticmethod
-    def __call__(state, blob):
-        token, votes = _Ballots.read(blob)
-        if state is None:
-            return token.copy(), votes.copy()
-        held, n = state
-        n = np.where(held == token, n + votes, n - votes)
-        return np.where(n < 0, token, held), np.abs(n)
 
-    @staticmethod
-    def pack(state) -> bytes:
-        return state[0].tobytes() + state[1].tobytes()
+def fitted(trials: np.ndarray, hits: np.ndarray) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """Each predictor's log odds by decision and cell, and the weights by gate, from counts (decisions x joint states).
+
+    Weights minimise the logistic loss over all decisions counted, by Newton's steps with a ridge around equal shares.
+    """
+    every = np.arange(JOINT)
+    cells = predictors(every)
+    odds = [[np.log((np.bincount(c, hits[k]) + 0.4) / (np.bincount(c, trials[k] - hits[k]) + 0.4)) for c in cells] for k in range(DECISIONS)]
+    start = np.array([1 / PREDICTORS] * PREDICTORS + [0.0])
+    weights = np.repeat(start[None], GATES, axis=0)
+    for k in range(DECISIONS):
+        used = np.flatnonzero(trials[k])
+        x = np.stack([odds[k][i][cells[i][used]] for i in range(PREDICTORS)] + [np.ones(len(used))], axis=1)
+        gate, t, y = gates(k, used), trials[k][used], hits[k][used]
+        for g in np.unique(gate):
+            m = gate == g
+            xs, ts, ys, w = x[m], t[m], y[m], start.copy()
+            for _ in range(12):
+                p = logistic(xs @ w)
+                slope = xs.T @ (ys - ts * p) - (w - start)
+                step = np.linalg.solve((xs * (ts * p * (1 - p))[:, None]).T @ xs + np.eye(INPUTS), slope)
+                w += np.clip(step, -1, 1)
+                if np.abs(step).max() < 1e-6:
+                    break
+            weights[g] = w
+    return odds, np.round(weights, 9)
+
+
+def model(odds: list[list[np.ndarray]], weights: np.ndarray) -> Model:
+    cells = predictors(np.arange(JOINT))
+    stretch = np.ones((DECISIONS, JOINT, INPUTS), np.float32)
+    for k in range(DECISIONS):
+        for i in range(PREDICTORS):
+            stretch[k, :, i] = odds[k][i][cells[i]]
+    return Model(stretch, np.stack([gates(k, np.arange(JOINT)) for k in range(DECISIONS)]).astype(np.uint8), weights)
 
-    @staticmethod
-    def read(blob):
-        n = len(blob) // 12
-        return np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.int64, n, 4 * n)
 
+def chances(m: Model, states: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The probability of each decision (tokens x decisions, 0 where not live); a text's weights are refined after each of its blocks."""
+    n, starts = len(states), np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    joint, code = states & 0xFFFFF, (states >> 23).astype(np.int64)
+    out = np.zeros((n, DECISIONS))
+    block = (np.arange(n) - starts[text]) // BLOCK
+    order = np.argsort(block, kind="stable")
+    ends = np.searchsorted(block[order], np.arange(int(block.max(initial=-1)) + 2))
+    own = np.repeat(m.weights[None], len(sizes), axis=0)
+    for a, b in zip(ends, ends[1:]):  # noqa: B905
+        at = order[a:b]
+        for k in range(DECISIONS):
+            i = at[(states[at] >> (20 + k)) & 1 == 1]
+            if not len(i):
+                continue
+            t, g, x = text[i], m.gate[k, joint[i]], m.stretch[k, joint[i]]
+            p = logistic(np.einsum("ij,ij->i", x, own[t, g]))
+            out[i, k] = p
+            fair = (code[i] == 0) | (code[i] > k)  # decisions after the one that met the token teach nothing
+            cell, error = t * GATES + g, np.where(fair, (code[i] == k + 1) - p, 0.0)
+            some, of = np.unique(cell, return_inverse=True)
+            seen = np.sqrt(np.maximum(1, np.bincount(of, fair)))
+            for j in range(INPUTS):
+                step = np.bincount(of, error * x[:, j]) / seen
+                own.reshape(-1, INPUTS)[some, j] += RATE * np.clip(step, -4, 4)
+    return out
 
-class _Sums:
-    """Adds arrays of doubles."""
 
-    @staticmethod
-    def __call__(state, blob):
-        x = np.frombuffer(blob, np.float64)
-        return x.copy() if state is None else state + x
+def mixed(p: np.ndarray, code: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Probability of each token, for its decisions' p, the decision that meets it (1 to 3, 0 for none) and its unigram share."""
+    out = share.astype(float)
+    for k in range(DECISIONS - 1, -1, -1):
+        out = p[:, k] * (code == k + 1) + (1 - p[:, k]) * out
+    return out
 
-    @staticmethod
-    def pack(state) -> bytes:
-        return state.tobytes()
 
+def _aligned(portions: DataFrame, answers: DataFrame, count: int) -> DataFrame:
+    """A row for each portion with its tokens' states and its vocabulary's counts; and rows of (joint, trials, hits) by task."""
+    told = answers.where("portion >= 0").groupBy("portion").agg(F.sort_array(F.collect_list(F.struct("kind", "key", "answer"))).alias("answers"))
+    kind = dict(portions.dtypes)["ids"]
 
-def _voted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, some = Votes(), False
-        for h, sizes in _texts(batches):
-            v.add(h, sizes)
-            some = True
-        if some:
-            width = SLOTS // RANGES
-            blobs = [_Ballots.pack((v.voted[k, a : a + width], v.votes[k, a : a + width])) for k in range(2) for a in range(0, SLOTS, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        trials, hits = np.zeros((DECISIONS, JOINT), np.int64), np.zeros((DECISIONS, JOINT), np.int64)
+        schema = None
+        for b in batches:
+            schema = schema or b.schema.field("ids").type
+            for row in _each(b):
+                p = _portion(row)
+                blobs = {x: [a["answer"] for a in row["answers"] if a["kind"] == x] for x in (COUNTS, FIRST, SECOND)}
+                (key, at, _), = p.asked(COUNTS)
+                counts = np.concatenate([unpacked(x, np.int64) for x in blobs[COUNTS]])[at]
+                words = []
+                for x in (SECOND, FIRST):
+                    train, others = p.asked(x)
+                    cuts = [np.diff(ranges(s[0], count)) for s in (train, others)]
+                    sizes = [(a, c) for a, c in zip(*cuts, strict=True) if a or c]
+                    got = [np.split(unpacked(blob, np.uint32), [a]) for blob, (a, _) in zip(blobs[x], sizes, strict=True)]
+                    word = np.zeros(len(p.h), np.uint32)
+                    word[p.training] = np.concatenate([g[0] for g in got])[train[1]]
+                    word[~p.training] = np.concatenate([g[1] for g in got])[others[1]]
+                    words.append(word)
+                states = decided(p, *words)
+                code = states >> 23
+                for k in range(DECISIONS):
+                    fair = p.training & ((states >> (20 + k)) & 1 == 1) & ((code == 0) | (code > k))
+                    trials[k] += np.bincount(states[fair] & 0xFFFFF, minlength=JOINT)
+                    hits[k] += np.bincount(states[fair & (code == k + 1)] & 0xFFFFF, minlength=JOINT)
+                yield _row(schema, row["ids"], row["held"], row["n_bytes"], row["sizes"], row["tokens"], packed(counts), packed(states), b"")
+        used = np.flatnonzero(trials.ravel())
+        if len(used):
+            blob = packed(np.concatenate([used, trials.ravel()[used], hits.ravel()[used]]))
+            yield _row(schema, None, None, None, None, None, None, None, blob)
+
+    joined = portions.join(told, "portion").select("ids", "held", "n_bytes", "sizes", "tokens", "vocabulary", "answers")
+    return joined.mapInArrow(run, f"ids {kind}, held array<boolean>, n_bytes array<bigint>, sizes binary, tokens binary, counts binary, states binary, learned binary")
+
+
+def _row(ids: pa.DataType, *values) -> pa.RecordBatch:
+    kinds = [ids, pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["ids", "held", "n_bytes", "sizes", "tokens", "counts", "states", "learned"])
+
+
+def _sums(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """trials and hits (decisions x joint states) over all tasks: at most that many rows reach the driver."""
 
-    rows = _merged(_passed(docs, run, "part int, blob binary"), _Ballots())
-    if not rows:
-        return np.zeros((2, SLOTS), np.uint32), np.zeros((2, SLOTS), np.int64)
-    token, votes = zip(*(_Ballots.read(bytes(r.blob)) for r in rows), strict=True)
-    return np.concatenate(token).reshape(2, SLOTS), np.concatenate(votes).reshape(2, SLOTS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for blob in b["learned"]:
+                at, trials, hits = unpacked(blob, np.int64).reshape(3, -1)
+                yield pd.DataFrame({"cell": at, "trials": trials, "hits": hits})
 
+    rows = learned.where("ids is null").select("learned").mapInPandas(run, "cell bigint, trials bigint, hits bigint").groupBy("cell").agg(F.sum("trials").alias("trials"), F.sum("hits").alias("hits")).toPandas()
+    trials, hits = np.zeros(DECISIONS * JOINT, np.int64), np.zeros(DECISIONS * JOINT, np.int64)
+    trials[rows["cell"]], hits[rows["cell"]] = rows["trials"], rows["hits"]
+    return trials.reshape(DECISIONS, JOINT), hits.reshape(DECISIONS, JOINT)
 
-def _mixed(docs: DataFrame, candidates) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """trials, hits, weights and the number of decisions."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer()
-        for h, sizes in _texts(batches):
-            m.add(candidates.value.decide(h, sizes))
-        if m.bits:
-            width = len(m.trials) // RANGES
-            blobs = [np.concatenate([m.trials[a : a + width], m.hits[a : a + width]]).astype(np.float64).tobytes() for a in range(0, len(m.trials), width)]
-            blobs.append(np.concatenate([[m.bits], m.weights.ravel() * m.bits]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
-
-    rows = _merged(_passed(docs, run, "part int, blob binary"), _Sums())
-    m = Mixer()
-    if not rows:
-        return m.trials, m.hits, m.weights, 0.0
-    tables = [np.frombuffer(bytes(r.blob), np.float64).reshape(2, -1) for r in rows[:-1]]
-    last = np.frombuffer(bytes(rows[-1].blob), np.float64)
-    both = np.concatenate(tables, axis=1).astype(np.int64)
-    return both[0], both[1], (last[1:] / last[0]).reshape(GATES, INPUTS), float(last[0])
-
-
-def _learned(training: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """voted and votes of all training texts; trials, hits and weights, each half judging the other one's candidates."""
-    half = F.pmod(F.xxhash64("doc_id", F.lit("judge")), F.lit(2))
-    halves = [training.where(half == i) for i in (0, 1)]
-    ballots = [_voted(h) for h in halves]
-    found = []
-    for h, (voted, votes) in zip(halves, reversed(ballots), strict=True):
-        sent = training.sparkSession.sparkContext.broadcast(Candidates(voted, confidence(votes)))
-        found.append(_mixed(h, sent))
-    both = _Ballots()(tuple(x.ravel() for x in ballots[0]), _Ballots.pack(ballots[1]))
-    voted, votes = (x.reshape(2, SLOTS) for x in both)
-    (t0, h0, w0, n0), (t1, h1, w1, n1) = found
-    weights = (w0 * n0 + w1 * n1) / (n0 + n1) if n0 + n1 else w0
-    return voted, votes, t0 + t1, h0 + h1, weights
-
-
-def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of at most HEAD tokens: all those above a count that so few exceed."""
-    steps = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
-    total, least = 0, None
-    for r in steps:  # some 8 steps for each doubling
-        if total + r.n > HEAD:
-            break
-        total, least = total + r.n, r.step
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = counts.where(F.floor(F.log2("c") * 8) >= least).toPandas().sort_values("h")
-    return rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
-
-
-def _scored(words: Lexicon, texts: list[bytes | None], row: int, own: list[pa.Array], table: np.ndarray, weights: np.ndarray, candidates: Candidates, floor: float) -> pa.RecordBatch:
-    """A row for each text with what the head's counts give, and one for each rarer token of it."""
-    ids, sizes = words.read(texts)
-    h, count = words.hash[ids], words.value[ids]
-    there = count > 0
-    starts, text = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-    logs = np.where(there, (np.log10(words.value + 0.5) - floor)[ids], 0.0)
-    d = candidates.decide(h, sizes, np.where(there, ((words.value + 0.5) / 10**floor)[ids], 0.0))
-    cost = log_odds_cost(d, stretched(table, d), weights, sizes)
-    base = np.add.reduceat(logs, starts)
-    total = np.bincount(text[d.at], cost, len(sizes)) + np.add.reduceat(np.where(d.escaped, logs - np.log10(1 - d.freed), 0.0), starts)
-    rare = np.flatnonzero(~there)
-    order = rare[np.lexsort((h[rare], text[rare]))]
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])]) if len(order) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    times = np.diff(np.concatenate([first, [len(order)]])) if len(first) else np.zeros(0, np.int64)
-    escapes = np.add.reduceat(d.escaped[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    k, at = len(sizes), order[first]
-    rows, blank, none = row + np.arange(k), np.zeros(len(at), np.int64), np.zeros(k, np.int64)
-    take = pa.array(np.concatenate([np.arange(k), text[at]]))
-    both = lambda x, y: pa.array(np.concatenate([x, y]))
-    return pa.RecordBatch.from_arrays(
-        [
-            both(rows, rows[text[at]]), own[0].take(take), own[1].take(take), both(-3 - rows, h[at]), both(sizes, blank), both(np.add.reduceat(there.astype(np.int64), starts), blank),
-            both(base, blank.astype(float)), both(total, blank.astype(float)), both(np.array([len(t or b"") for t in texts], np.int64), blank), both(none, times), both(none, escapes),
-        ],
-        names=["row", "doc_id", "held_out", "h", "n_tokens", "n_known", "base", "total", "n_bytes", "times", "escapes"],
-    )
-
-
-def score(docs: DataFrame, folds: int = 5) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, portion: int = PORTION) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every row of docs(doc_id, text).
 
     Texts of fold 1 are held out; the others train, those with a null id too. A null or empty text
@@ -475,44 +502,36 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     bytes. Repeated rows train and are scored each by itself; an empty table gives no rows; without
     a training text all counts are 0; other columns are not read.
     """
-    sc = docs.sparkSession.sparkContext
+    kind = dict(docs.dtypes)["doc_id"]
     held = F.coalesce(fold(folds=folds) == 1, F.lit(False))
-    training = docs.where(~held)
-    counts = cut(_counted(training))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    portions = cut(_portions(docs.select("doc_id", held.alias("held"), F.col("text").cast("binary").alias("text")), portion))
+    count = max(1, -(-portions.count() // PORTIONS_A_RANGE))
+    answers = cut(_answered(_asked(portions, count)))
+    n, v = answers.where("portion < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     floor = float(np.log10(n + 0.5 * (v + 1)))
-    keys, c = _head(counts)
-    by_short = dict(zip(short(keys).tolist(), ((c + 0.5) / 10**floor).tolist(), strict=True))
-    voted, votes, trials, hits, weights = _learned(training)
-    share = np.array([by_short.get(t, 0.0) for t in voted.ravel().tolist()]).reshape(voted.shape)
-    candidates = sc.broadcast(Candidates(voted, confidence(votes), share))
-    known = sc.broadcast((keys, c, odds(trials, hits), weights))
-    kind = dict(docs.dtypes)["doc_id"]
+    aligned = cut(_aligned(portions, answers, count))
+    fit = docs.sparkSession.sparkContext.broadcast(fitted(*_sums(aligned)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, c, table, weights = known.value
-
-        def look(h: np.ndarray) -> np.ndarray:
-            """The head's count of a token, 0 for a rarer one."""
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            return np.where(keys[at] == h, c[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-
-        words, row = Lexicon(look), TaskContext.get().partitionId() << 36
+        m = model(*fit.value)
         for b in batches:
-            for begin, texts in portions(b):
-                k = len(texts)
-                yield _scored(words, texts, row, [b.column(i).slice(begin, k) for i in (0, 1)], table, weights, candidates.value, floor)
-                row += k
-
-    read = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"row bigint, doc_id {kind}, held_out boolean, h bigint, n_tokens bigint, n_known bigint, base double, total double, n_bytes bigint, times bigint, escapes bigint"
+            ids = b.column(0)
+            for i, row in enumerate(_each(b.drop_columns(["ids"]))):
+                sizes, tokens, counts, states = (unpacked(row[c], t) for c, t in (("sizes", np.int64), ("tokens", np.int32), ("counts", np.int64), ("states", np.uint32)))
+                starts = np.cumsum(sizes) - sizes
+                logs = (np.log10(counts + 0.5) - floor)[tokens]
+                p = mixed(chances(m, states, sizes), states >> 23, 10**logs)
+                own = ids.slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own, pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)),
+                        pa.array(np.full(len(sizes), n)), pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(np.log10(p), starts)), pa.array(row["n_bytes"], pa.int64()),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
+                )
+
+    found = aligned.where("ids is not null").select("ids", "held", "n_bytes", "sizes", "tokens", "counts", "states").mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
     )
-    found = read.join(counts.select(F.col("h").alias("of"), "c"), F.col("h") == F.col("of"), "left")
-    log = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) - floor
-    terms = found.select(
-        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("times") * log).alias("base"), (F.col("total") + F.col("escapes") * log).alias("total"), "n_bytes",
-    )
-    sums = terms.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "total", "n_bytes")])
-    bits = F.when(F.col("n_bytes") > 0, -F.col("total") * float(np.log2(10)) / F.col("n_bytes"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"), "n_bytes", bits.alias("bits_per_byte"))
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes"))
+    return found.withColumn("bits_per_byte", bits)

@@ -385,35 +385,70 @@ def test_lm(spark, odd, none):
     assert rows(lm_score.score(none)) == []
 
 
-def test_lm_learns_from_every_training_text(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"w{i} x y z") for i in range(200)], "doc_id long, text string")
-    seen = {"_voted": [], "_mixed": []}
-    for name, ids in seen.items():
-
-        def spied(d, *rest, ids=ids, real=getattr(lm_score, name)):
-            ids += [r.doc_id for r in d.select("doc_id").collect()]
-            return real(d, *rest)
-
-        monkeypatch.setattr(lm_score, name, spied)
-    lm_score.score(docs)
-    training = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert sorted(seen["_voted"]) == training and sorted(seen["_mixed"]) == training
+def lm_docs(spark, n, seed=6):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(words, range(400, 0, -1), k=rng.randint(20, 60))) for _ in range(n)]
+    return spark.createDataFrame(list(enumerate([*texts, *texts[:5], "w1 w2 " * 400])), "doc_id long, text string")
+
+
+def test_lm_scores_alike_however_rows_are_dealt(spark):
+    docs = lm_docs(spark, 300)
+    one = {r["doc_id"]: r for r in rows(lm_score.score(docs.coalesce(1)))}
+    for other in (lm_score.score(docs.repartition(8)), lm_score.score(docs.repartition(5, "text"), portion=900)):
+        got = {r["doc_id"]: r for r in rows(other)}
+        assert got.keys() == one.keys()
+        for i, r in one.items():
+            assert all(abs(r[c] - got[i][c]) < 1e-7 for c in ("score", "base_score")) and r["n_known"] == got[i]["n_known"]
+    twice, once = [one[300 + i]["score"] / one[300 + i]["n_tokens"] for i in range(5) if not one[i]["held_out"]], [one[i]["score"] / one[i]["n_tokens"] for i in range(5, 300)]
+    assert min(twice) > sum(once) / len(once)  # a text that occurs twice is foreseen where its copy trains
+
+
+def test_lm_candidates_are_brute_force():
+    rng = random.Random(8)
+    train = [(rng.randint(0, 30), rng.randint(0, 6)) for _ in range(600)]
+    others = [(rng.randint(0, 34), rng.randint(0, 6)) for _ in range(80)]
+    key = lambda x: np.array([c << 24 | t for c, t in x], np.uint64)
+    pairs, times = np.unique(key(train), return_counts=True)
+    hit, state, token = lm_score.candidates(pairs, times, key(others))
+
+    def brute(context, own, left_out):
+        n = {}
+        for c, t in train:
+            if c == context:
+                n[t] = n.get(t, 0) + 1
+        if left_out:
+            n[own] -= 1
+        best = max((t for t in n if n[t]), key=lambda t: (n[t], t), default=None)
+        most, total = (n[best], sum(n.values())) if best is not None else (0, sum(n.values()))
+        return best == own and best is not None, int(lm_score.state(np.array([most]), np.array([total]))[0]), best or 0
+
+    asked = [*((int(p) >> 24, int(p) & 0xFFFFFF, True) for p in pairs), *((c, t, False) for c, t in others)]
+    assert [brute(*a) for a in asked] == list(zip(hit.tolist(), state.tolist(), token.tolist(), strict=True))
+    none = np.zeros(0, np.uint64)
+    assert [len(x) for x in lm_score.candidates(none, np.zeros(0, np.int64), key(others))] == [80] * 3
+    assert [len(x) for x in lm_score.candidates(none, np.zeros(0, np.int64), none)] == [0] * 3
 
 
 def test_lm_is_a_distribution():
-    """The outcomes of one token's decisions and its escape have probabilities of 1 together."""
-    words = lm_score.Lexicon()
-    ids, sizes = words.read([b"a b a b a c a b", b"a b"])
-    h = words.hash[ids]
-    votes = lm_score.Votes()
-    votes.add(h, sizes)
-    share = np.full(votes.voted.shape, 0.01)
-    cands = lm_score.Candidates(votes.voted, lm_score.confidence(votes.votes), share)
-    d = cands.decide(h, sizes, np.full(len(h), 0.01))
-    cost = lm_score.log_odds_cost(d, lm_score.stretched(lm_score.odds(np.zeros(10**6), np.zeros(10**6)), d), lm_score.Mixer().weights, sizes)
-    assert (cost < 0).all() and np.isfinite(cost).all()
-    per = np.bincount(d.at, d.hit, len(h))
-    assert ((per == 1) == ~d.escaped).all() and (per <= 1).all()
+    """Over all tokens of a vocabulary, whichever the candidates are, probabilities sum to 1."""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        share = rng.dirichlet(np.ones(20))
+        live, p = rng.permutation(20)[:3], rng.random(3) * (rng.random(3) > 0.3)
+        code = np.zeros(20, int)
+        code[live] = np.where(p > 0, [1, 2, 3], 0)
+        assert abs(lm_score.mixed(np.repeat(p[None], 20, axis=0), code, share).sum() - 1) < 1e-12
+
+
+def test_lm_gathers_more_from_more(spark):
+    def gathered(n):
+        p = lm_score._portions(lm_docs(spark, n).select("doc_id", F.lit(False).alias("held"), F.col("text").cast("binary").alias("text")), 2000)
+        times = [lm_score.unpacked(r.times, np.int64).sum() for r in lm_score._asked(common.cut(p), 3).where("kind = 2").collect()]
+        return sum(times)
+
+    few, many = gathered(200), gathered(800)
+    assert many > 3 * few
 
 
 # --- vectors
