@@ -51,6 +51,7 @@ GATES = DECISIONS * 6
 BLOCK = 128  # tokens after which a text's weights are refined
 RATE = 0.02
 END, BEGIN = -1, -2
+TOKEN = 20  # bits of a successor's hash
 COUNTS, FIRST, SECOND = range(3)  # what a range is asked for
 
 
@@ -115,14 +116,15 @@ def contexts(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return one, two, first, mix(first + two.view(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def pairs(context: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """40 bits of the context before 24 of its successor."""
-    return (context & ~np.uint64(0xFFFFFF)) | ((h.view(np.uint64) >> np.uint64(20)) & np.uint64(0xFFFFFF))
+def pairs(context: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """`width` bits of the context before TOKEN bits of its successor."""
+    return (context >> np.uint64(64 - width) << np.uint64(TOKEN)) | ((h.view(np.uint64) >> np.uint64(20)) & np.uint64((1 << TOKEN) - 1))
 
 
-def ranges(key: np.ndarray, count: int) -> np.ndarray:
-    """Where each of `count` ranges begins in sorted 64-bit keys, and the end."""
-    return np.searchsorted(key >> np.uint64(24), (np.arange(count + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(count))
+def ranges(key: np.ndarray, count: int, kind: int, width: int) -> np.ndarray:
+    """Where each of `count` ranges begins in sorted keys, and the end."""
+    low, width = (24, 40) if kind == COUNTS else (TOKEN, width)
+    return np.searchsorted(key >> np.uint64(low), (np.arange(count + 1, dtype=np.uint64) << np.uint64(width)) // np.uint64(count))
 
 
 @dataclass
@@ -138,7 +140,7 @@ class Portion:
         self.h = self.vocabulary[self.tokens]
         self.training = np.repeat(self.train, self.sizes)
 
-    def asked(self, kind: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def asked(self, kind: int, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of the training tokens and of the others: distinct keys, sorted, which of them each token has, and how often each occurs."""
         if kind == COUNTS:
             key = mix(self.vocabulary.view(np.uint64))
@@ -147,7 +149,7 @@ class Portion:
             at[order] = np.arange(len(order))
             return [(key[order], at, np.bincount(self.tokens[self.training], minlength=len(order))[order])]
         _, _, first, second = contexts(self.h, self.sizes)
-        key = pairs(first if kind == FIRST else second, self.h)
+        key = pairs(first if kind == FIRST else second, self.h, width)
         return [np.unique(key[m], return_inverse=True, return_counts=True) for m in (self.training, ~self.training)]
 
 
@@ -194,7 +196,7 @@ def _portion(row: dict) -> Portion:
     return Portion(unpacked(row["sizes"], np.int64), unpacked(row["tokens"], np.int32), unpacked(row["vocabulary"], np.int64), ~np.array(row["held"], bool))
 
 
-def _asked(portions: DataFrame, count: int) -> DataFrame:
+def _asked(portions: DataFrame, count: int, width: int) -> DataFrame:
     """(key, kind, portion, train, times, others): what portions ask of each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +204,8 @@ def _asked(portions: DataFrame, count: int) -> DataFrame:
             for row in _each(b):
                 p = _portion(row)
                 for kind in (COUNTS, FIRST, SECOND):
-                    sets = p.asked(kind)
-                    cuts = [ranges(s[0], count) for s in sets]
+                    sets = p.asked(kind, width)
+                    cuts = [ranges(s[0], count, kind, width) for s in sets]
                     out = []
                     for r in range(count):
                         (a, z), (c, y) = (c[r : r + 2] for c in (cuts[0], cuts[-1]))
@@ -223,14 +225,14 @@ def state(most: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def candidates(train: np.ndarray, times: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each training pair and each other one: hit, state and 16 bits of the candidate, given all training pairs of a range.
+    """Of each training pair and each other one: hit, state and 8 bits of the candidate, given all training pairs of a range.
 
     The candidate is the most frequent successor, of equals the one of greatest hash; one
     occurrence of a training pair is left out of the counts that it meets.
     """
     pair, own = np.unique(train, return_inverse=True)
     n = np.bincount(own, times, len(pair)).astype(np.int64)
-    context = pair >> np.uint64(24)
+    context = pair >> np.uint64(TOKEN)
     begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(pair) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([begin, [len(pair)]]))
     group = np.repeat(np.arange(len(begin)), size)
@@ -245,9 +247,9 @@ def candidates(train: np.ndarray, times: np.ndarray, others: np.ndarray) -> tupl
     other = np.where(second >= 0, n[second], 0)
     turned = is_first & ((other > left) | ((other == left) & (second > first)))
     cand, most = np.where(turned, second, first), np.where(turned, other, left)
-    place = np.searchsorted(context[begin], others >> np.uint64(24)) if len(begin) else np.zeros(len(others), np.int64)
+    place = np.searchsorted(context[begin], others >> np.uint64(TOKEN)) if len(begin) else np.zeros(len(others), np.int64)
     place = np.minimum(place, max(0, len(begin) - 1))
-    known = context[begin][place] == others >> np.uint64(24) if len(begin) else np.zeros(len(others), bool)
+    known = context[begin][place] == others >> np.uint64(TOKEN) if len(begin) else np.zeros(len(others), bool)
     at = best[place] if len(begin) else place
     cand = np.concatenate([cand, at]).astype(np.int64)
     most = np.concatenate([most, np.where(known, n[at] if len(begin) else 0, 0)])
@@ -255,7 +257,7 @@ def candidates(train: np.ndarray, times: np.ndarray, others: np.ndarray) -> tupl
     every = np.concatenate([train, others])
     there = most > 0
     token = pair[cand] if len(pair) else np.zeros(len(every), np.uint64)
-    return there & (token == every), state(most, totals), np.where(there, token & np.uint64(0xFFFF), 0).astype(np.uint16)
+    return there & (token == every), state(most, totals), np.where(there, token & np.uint64(0xFF), 0).astype(np.uint8)
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -274,7 +276,7 @@ def _answered(asked: DataFrame) -> DataFrame:
         others = [np.cumsum(unpacked(r[4], np.uint64), dtype=np.uint64) for r in rows]
         hit, seen, token = candidates(np.concatenate(train), np.concatenate(times), np.concatenate(others))
         ends = np.cumsum([0, *(len(t) for t in train), *(len(t) for t in others)])
-        word = (hit.astype(np.uint32) << 24) | (seen.astype(np.uint32) << 16) | token
+        word = ((hit * 128 + seen).astype(np.uint16) << 8) | token
         for i, r in enumerate(rows):
             a, b = ends[i : i + 2], ends[len(rows) + i : len(rows) + i + 2]
             yield r[1], packed(np.concatenate([word[slice(*a)], word[slice(*b)]])), 0, 0
@@ -310,12 +312,12 @@ def decided(p: Portion, second: np.ndarray, first: np.ndarray) -> np.ndarray:
     again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     last = np.full(n, -1)
     last[order[again + 1]] = order[again]
-    seen, own = last >= 0, (p.h.view(np.uint64) >> np.uint64(20)).astype(np.uint16)
-    c2, c1, c0 = second.astype(np.uint16), first.astype(np.uint16), np.where(seen, own[last], 0).astype(np.uint16)
-    q2, q1 = (((x >> 16) & 0xFF).astype(np.int64) for x in (second, first))
+    seen, own = last >= 0, (p.h.view(np.uint64) >> np.uint64(20)).astype(np.uint8)
+    c2, c1, c0 = second.astype(np.uint8), first.astype(np.uint8), np.where(seen, own[last], 0).astype(np.uint8)
+    q2, q1 = (((x >> 8) & 0x7F).astype(np.int64) for x in (second, first))
     there2, there1 = q2 > 3, q1 > 3
     live = [there2, seen & ~(there2 & (c0 == c2)), there1 & ~(there2 & (c1 == c2)) & ~(seen & (c1 == c0))]
-    hits = [live[0] & (second >> 24 > 0), live[1] & (p.tokens[last] == p.tokens), live[2] & (first >> 24 > 0)]
+    hits = [live[0] & (second >> 15 > 0), live[1] & (p.tokens[last] == p.tokens), live[2] & (first >> 15 > 0)]
     code = np.where(hits[0], 1, np.where(hits[1], 2, np.where(hits[2], 3, 0)))
     past = np.concatenate([[0], code[:-1]])
     past[starts] = 0
@@ -433,7 +435,7 @@ def mixed(p: np.ndarray, code: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
-def _aligned(portions: DataFrame, answers: DataFrame, count: int) -> DataFrame:
+def _aligned(portions: DataFrame, answers: DataFrame, count: int, width: int) -> DataFrame:
     """A row for each portion with its tokens' states and its vocabulary's counts; and rows of (joint, trials, hits) by task."""
     told = answers.where("portion >= 0").groupBy("portion").agg(F.sort_array(F.collect_list(F.struct("kind", "key", "answer"))).alias("answers"))
     kind = dict(portions.dtypes)["ids"]
@@ -446,15 +448,15 @@ def _aligned(portions: DataFrame, answers: DataFrame, count: int) -> DataFrame:
             for row in _each(b):
                 p = _portion(row)
                 blobs = {x: [a["answer"] for a in row["answers"] if a["kind"] == x] for x in (COUNTS, FIRST, SECOND)}
-                (key, at, _), = p.asked(COUNTS)
+                ((_, at, _),) = p.asked(COUNTS, width)
                 counts = np.concatenate([unpacked(x, np.int64) for x in blobs[COUNTS]])[at]
                 words = []
                 for x in (SECOND, FIRST):
-                    train, others = p.asked(x)
-                    cuts = [np.diff(ranges(s[0], count)) for s in (train, others)]
+                    train, others = p.asked(x, width)
+                    cuts = [np.diff(ranges(s[0], count, x, width)) for s in (train, others)]
                     sizes = [(a, c) for a, c in zip(*cuts, strict=True) if a or c]
-                    got = [np.split(unpacked(blob, np.uint32), [a]) for blob, (a, _) in zip(blobs[x], sizes, strict=True)]
-                    word = np.zeros(len(p.h), np.uint32)
+                    got = [np.split(unpacked(blob, np.uint16), [a]) for blob, (a, _) in zip(blobs[x], sizes, strict=True)]
+                    word = np.zeros(len(p.h), np.uint16)
                     word[p.training] = np.concatenate([g[0] for g in got])[train[1]]
                     word[~p.training] = np.concatenate([g[1] for g in got])[others[1]]
                     words.append(word)
@@ -505,11 +507,14 @@ def score(docs: DataFrame, folds: int = 5, portion: int = PORTION) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     held = F.coalesce(fold(folds=folds) == 1, F.lit(False))
     portions = cut(_portions(docs.select("doc_id", held.alias("held"), F.col("text").cast("binary").alias("text")), portion))
-    count = max(1, -(-portions.count() // PORTIONS_A_RANGE))
-    answers = cut(_answered(_asked(portions, count)))
+    some, size = portions.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("n_bytes", F.lit(0).cast("bigint"), lambda a, x: a + x + 8)), F.lit(0))).first()
+    count = max(1, -(-some // PORTIONS_A_RANGE))
+    # so many bits for a context's hash that at every size some 1 in 200 share it with another one
+    width = min(40, 28 + (size // 8_000_000).bit_length())
+    answers = cut(_answered(_asked(portions, count, width)))
     n, v = answers.where("portion < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     floor = float(np.log10(n + 0.5 * (v + 1)))
-    aligned = cut(_aligned(portions, answers, count))
+    aligned = cut(_aligned(portions, answers, count, width))
     fit = docs.sparkSession.sparkContext.broadcast(fitted(*_sums(aligned)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -408,7 +408,7 @@ def test_lm_candidates_are_brute_force():
     rng = random.Random(8)
     train = [(rng.randint(0, 30), rng.randint(0, 6)) for _ in range(600)]
     others = [(rng.randint(0, 34), rng.randint(0, 6)) for _ in range(80)]
-    key = lambda x: np.array([c << 24 | t for c, t in x], np.uint64)
+    key = lambda x: np.array([c << lm_score.TOKEN | t for c, t in x], np.uint64)
     pairs, times = np.unique(key(train), return_counts=True)
     hit, state, token = lm_score.candidates(pairs, times, key(others))
 
@@ -423,7 +423,7 @@ def test_lm_candidates_are_brute_force():
         most, total = (n[best], sum(n.values())) if best is not None else (0, sum(n.values()))
         return best == own and best is not None, int(lm_score.state(np.array([most]), np.array([total]))[0]), best or 0
 
-    asked = [*((int(p) >> 24, int(p) & 0xFFFFFF, True) for p in pairs), *((c, t, False) for c, t in others)]
+    asked = [*((int(p) >> lm_score.TOKEN, int(p) & 0xFFFFF, True) for p in pairs), *((c, t, False) for c, t in others)]
     assert [brute(*a) for a in asked] == list(zip(hit.tolist(), state.tolist(), token.tolist(), strict=True))
     none = np.zeros(0, np.uint64)
     assert [len(x) for x in lm_score.candidates(none, np.zeros(0, np.int64), key(others))] == [80] * 3
@@ -444,7 +444,7 @@ def test_lm_is_a_distribution():
 def test_lm_gathers_more_from_more(spark):
     def gathered(n):
         p = lm_score._portions(lm_docs(spark, n).select("doc_id", F.lit(False).alias("held"), F.col("text").cast("binary").alias("text")), 2000)
-        times = [lm_score.unpacked(r.times, np.int64).sum() for r in lm_score._asked(common.cut(p), 3).where("kind = 2").collect()]
+        times = [lm_score.unpacked(r.times, np.int64).sum() for r in lm_score._asked(common.cut(p), 3, 30).where("kind = 2").collect()]
         return sum(times)
 
     few, many = gathered(200), gathered(800)
