@@ -51,7 +51,7 @@ GATES = DECISIONS * 6
 BLOCK = 128  # tokens after which a text's weights are refined
 RATE = 0.02
 END, BEGIN = -1, -2
-TOKEN = 20  # bits of a successor's hash
+TOKEN = 16  # bits of a successor's hash
 COUNTS, FIRST, SECOND = range(3)  # what a range is asked for
 
 
@@ -90,7 +90,7 @@ class Lexicon(dict):
 def packed(x: np.ndarray) -> bytes:
     """An array as compressed planes of bytes."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(blob: bytes, kind: type) -> np.ndarray:

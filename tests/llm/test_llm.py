@@ -423,7 +423,7 @@ def test_lm_candidates_are_brute_force():
         most, total = (n[best], sum(n.values())) if best is not None else (0, sum(n.values()))
         return best == own and best is not None, int(lm_score.state(np.array([most]), np.array([total]))[0]), best or 0
 
-    asked = [*((int(p) >> lm_score.TOKEN, int(p) & 0xFFFFF, True) for p in pairs), *((c, t, False) for c, t in others)]
+    asked = [*((int(p) >> lm_score.TOKEN, int(p) & 0xFFFF, True) for p in pairs), *((c, t, False) for c, t in others)]
     assert [brute(*a) for a in asked] == list(zip(hit.tolist(), state.tolist(), token.tolist(), strict=True))
     none = np.zeros(0, np.uint64)
     assert [len(x) for x in lm_score.candidates(none, np.zeros(0, np.int64), key(others))] == [80] * 3
