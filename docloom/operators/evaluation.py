@@ -44,6 +44,29 @@ def truth_metrics(record: DataFrame, truth: DataFrame) -> DataFrame:
     return j.select("doc_id", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"), "matched", "missing", extra.alias("extra"))
 
 
+def flat_metrics(record: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc_id, precision, recall, f1, missing over top-level keys only, against (doc_id, path, expected).
+
+    A key with parts under it is filled; its value is its normalized_value, else its raw_value, else none.
+    """
+    key = F.element_at(F.split("path", r"\."), 1)
+    at = lambda end: F.max(F.when(F.col("path") == F.concat("key", F.lit(end)), F.col("value")))
+    keys = record.withColumn("key", key).groupBy("doc_id", "key").agg(F.coalesce(at(""), at(".normalized_value"), at(".raw_value")).alias("value"), F.count_if((F.col("path") != F.col("key")) | (F.col("value") != "")).alias("parts")).where("parts > 0")
+    hit = matches(F.col("expected"), F.col("value"))
+    t = truth.join(keys.select("doc_id", F.col("key").alias("path"), "value"), ["doc_id", "path"], "left").withColumn("hit", hit)
+    per = t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("path")))).alias("missing"))
+    j = per.join(keys.groupBy("doc_id").agg(F.count("*").alias("filled")), "doc_id", "left").fillna(0, ["filled"])
+    p, r = F.when(F.col("filled") > 0, F.col("hits") / F.col("filled")).otherwise(0.0), F.col("hits") / F.col("n")
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return j.select("doc_id", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"), "missing")
+
+
+def clean_truth(fields: DataFrame) -> DataFrame:
+    """fields(doc_id, path, value, items) without null and empty values; of lists the items that are neither, an empty list stays."""
+    kept = F.filter("items", lambda v: v != "")
+    return fields.withColumn("items", kept).where(F.col("items").isNotNull() | (F.col("value") != ""))
+
+
 def scorecards(record: DataFrame, required: list[str]) -> DataFrame:
     """doc_id and the single-document rates of a record."""
     done = completion(record, required)

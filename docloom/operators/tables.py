@@ -275,6 +275,13 @@ def table_quality(cells: DataFrame, words: DataFrame, least: float = 0.7, most_t
     return q.withColumn("passed", (F.col("coverage") >= least) & (F.col("duplication") <= most_twice) & (F.col("row_sanity") >= sane))
 
 
+def extractor_quality(cells: DataFrame, words: DataFrame, method: Column) -> DataFrame:
+    """doc_id, method, coverage, duplication, empty_ratio, passed by the extractors' own limits; empty cells count for ruled tables only."""
+    q = table_quality(cells, words).withColumn("method", method).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    q = q.withColumn("empty_ratio", F.when(F.col("method") == "ruled", F.col("empty_ratio")).otherwise(0.0))
+    return q.withColumn("passed", (F.col("coverage") >= 0.9) & (F.col("duplication") <= 0.02) & (F.col("empty_ratio") <= 0.5)).drop("row_sanity")
+
+
 def row_sanity(cells: DataFrame) -> DataFrame:
     """doc_id, row_sanity: share of rows that have the most common number of cells."""
     per = cells.groupBy("doc_id", "row_no").agg(F.count("*").alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("k"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import flows, graph, records, refine, regions, scalars, tables
+from docloom.plans import flows, graph, primitives, records, refine, regions, scalars, tables
 
-MODULES = (regions, scalars, graph, tables, records, flows, refine)
+MODULES = (regions, scalars, graph, tables, records, flows, refine, primitives)
 
 
 #: Columns whose SQL type is given, so that both sides agree in it.

@@ -82,7 +82,7 @@ def evenly_sampled_curve(spark, sf):
     return readers.evenly(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
-@query("corpus_sample")
+@query("corpus_sample", "select cast(doc_id as varchar) as path, source from documents order by md5(concat(cast(doc_id as varchar), '42')), path limit 50")
 def corpus_sample(spark, sf):
     return readers.sampled(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), "source"), 50)
 

@@ -55,7 +55,7 @@ def evenly(points: DataFrame, order: str, n: int = 40) -> DataFrame:
 
 def sampled(listing: DataFrame, n: int, seed: int = 42, key: str = "path") -> DataFrame:
     """n rows by a seeded hash of their key: the same ones on any cluster."""
-    return listing.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return listing.orderBy(F.md5(F.concat(F.col(key), F.lit(str(seed)))), key).limit(n)
 
 
 #: The models that providers may name.
