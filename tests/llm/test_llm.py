@@ -500,12 +500,27 @@ def test_vectors_that_vary_in_few_directions(directions):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
     ix = vector_dup.fit(x, 27)
     home, probed = ix.home(x), np.zeros((len(x), 27), bool)
-    for i, lists in enumerate(ix.probes(x, 0.9)):
+    for i, lists in enumerate(ix.probes(x, vector_dup.safe_reach(0.9))):
         probed[i, lists] = True
     a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
     assert len(a) > 1000 and (probed[a, home[b]] | probed[b, home[a]]).all()
 
 
+def test_vector_links_at_a_learned_reach(spark, monkeypatch):
+    """Noisy copies in 16 dimensions: all links of brute force are found with lists probed as far as asked vectors need."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(400, 16)), 4, axis=0)
+    x += rng.normal(size=x.shape) * 0.18
+    used = []
+    real = vector_dup._reach
+    monkeypatch.setattr(vector_dup, "_reach", lambda *a: used.append(real(*a)) or used[-1])
+    got = rows(vector_dup.deduplicate(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.sum() > 1000 and used[0] <= vector_dup.safe_reach(0.9)
+    assert sum(r["n_links"] for r in got) >= 0.999 * want.sum() and all(r["n_links"] <= want[r["vec_id"]] for r in got)
+
+
 # --- licences
 
 
