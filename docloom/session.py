@@ -19,10 +19,12 @@ def session(name: str = "docloom", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir, or that the session has set; a temporary one only for a local master."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return path or sc._jsc.sc().getCheckpointDir().get()
 
