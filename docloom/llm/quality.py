@@ -122,7 +122,8 @@ def _measured(docs: DataFrame, *extra: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     """Learn from labelled documents whose fold is not 1, at most `sample` of them.
 
-    Rows of labels without an id or a quality of 0 or 1 are left out.
+    Of repeated ids at most twice as many rows are fetched, by id: that is a bound of the training
+    sample only. Rows of labels without an id or a quality of 0 or 1 are left out.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & (fold() != 1)).select("doc_id", "quality")
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
