@@ -3,16 +3,16 @@
 A benchmark item of n words gives the patterns of `window` consecutive words (one shorter pattern
 if it has fewer). Texts and patterns are sequences of word numbers. The shift table of two-word
 blocks says how far the search window may jump; where it says 0, the bucket of that suffix block
-holds the patterns, chosen by their first block, and a direct comparison confirms an occurrence.
+holds the patterns, and a direct comparison of all their words confirms an occurrence.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,51 +34,53 @@ class WuManber:
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        owners: dict[bytes, str | set[str]] = {}  # most windows have one owner
         for item, text in items:
-            ids = [number(w, len(self.vocabulary)) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[i : i + window])].add(item)
-        self.classes = [self._tables(m, {p: o for p, o in owners.items() if len(p) == m}) for m in sorted({len(p) for p in owners})]
+            ids = np.array([number(w, len(self.vocabulary)) for w in words(text)], np.int32)
+            m = min(window, len(ids))
+            for i in range(len(ids) - m + 1 if m else 0):
+                p = ids[i : i + m].tobytes()
+                held = owners.setdefault(p, item)
+                if held != item:
+                    owners[p] = {*held, item} if isinstance(held, set) else {held, item}
+        self.classes = [self._tables(m, {p: o for p, o in owners.items() if len(p) == 4 * m}) for m in sorted({len(p) // 4 for p in owners})]
 
     @staticmethod
-    def _tables(m: int, patterns: dict[tuple[int, ...], set[str]]):
-        shift: dict[tuple[int, int], int] = {}
-        buckets: dict[tuple[int, int], dict[tuple[int, int], list[tuple[list[int], set[str]]]]] = {}
+    def _tables(m: int, patterns: dict[bytes, str | set[str]]):
+        """Shifts and buckets; a block of two word numbers is one key, and a bucket holds its patterns as bytes."""
+        shift: dict[int, int] = {}
+        buckets: dict[int, dict[bytes, str | set[str]]] = {}
         for p, items in patterns.items():
+            w = np.frombuffer(p, np.int32).tolist()
             for j in range(1, m):
-                block = (p[j - 1], p[j])
+                block = w[j - 1] << 32 | w[j]
                 shift[block] = min(shift.get(block, m - 1), m - 1 - j)
-            buckets.setdefault((p[m - 2] if m > 1 else p[0], p[m - 1]), {}).setdefault((p[0], p[min(1, m - 1)]), []).append((list(p), items))
+            buckets.setdefault(w[max(0, m - 2)] << 32 | w[m - 1], {})[p] = items
         return m, shift, buckets
 
     def search(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, disjoint hit ranges of words, items that occur."""
         tokens = words(text)
         get, n = self.vocabulary.get, len(tokens)
-        ids = list(map(get, tokens))
+        ids = np.array([get(w, -1) for w in tokens], np.int32)
+        listed, raw = ids.tolist(), ids.tobytes()
         found: list[tuple[int, int]] = []
         items: set[str] = set()
         for m, shift, buckets in self.classes:
-            if m == 1:
-                for i, a in enumerate(ids):
-                    if a is not None and (a, a) in buckets:
-                        found.append((i, i + 1))
-                        for _, o in buckets[a, a][a, a]:
-                            items |= o
-                continue
             i, most, jump = m - 1, m - 1, shift.get
             while i < n:
-                block = (ids[i - 1], ids[i])
-                s = jump(block, most)
+                a, b = listed[i - 1 if m > 1 else i], listed[i]
+                block = a << 32 | b if a >= 0 and b >= 0 else -1
+                s = jump(block, most) if m > 1 else 0
                 if s:
                     i += s
                     continue
                 begin = i - m + 1
-                for p, o in buckets.get(block, {}).get((ids[begin], ids[begin + 1]), ()):
-                    if ids[begin : i + 1] == p:
-                        found.append((begin, i + 1))
-                        items |= o
+                bucket = buckets.get(block)
+                owner = bucket.get(raw[4 * begin : 4 * i + 4]) if bucket else None
+                if owner is not None:
+                    found.append((begin, i + 1))
+                    items |= owner if isinstance(owner, set) else {owner}
                 i += 1
         return n, merged(found), items
 

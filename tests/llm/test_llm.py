@@ -318,6 +318,16 @@ def test_near_dup_odd(spark, odd, none):
     assert rows(near_dup.deduplicate(none)) == []
 
 
+def test_wu_manber_is_brute_force_on_small_vocabularies():
+    rng = random.Random(3)
+    for _ in range(300):
+        known, k = [f"w{i}" for i in range(rng.choice([2, 4, 12]))], rng.choice([1, 2, 3, 5])
+        items = [(str(i), " ".join(rng.choice(known) for _ in range(rng.randint(0, 7)))) for i in range(rng.randint(0, 5))]
+        text = " ".join(rng.choice([*known, "zz"]) for _ in range(rng.randint(0, 40)))
+        n, spans, found = decontaminate.WuManber([(a, b.encode()) for a, b in items], k).search(text.encode())
+        assert (n, sum(b - a for a, b in spans), sorted(found)) == decontaminate.brute_force(text, items, k)
+
+
 def test_near_dup_of_any_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     near = text.replace("w39", "other")
