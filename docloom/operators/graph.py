@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry as geo
 from docloom.functions.text import is_upper, strip
-from docloom.operators.paged import carried
+from docloom.operators.paged import carried, folded
 
 ATOMIC = ("table", "figure", "caption", "footer")
 MAX_CHUNK, OVERLAP, NEAR = 1200, 150, 80.0
 REFERENCE = r"(?i)(?:Fig\.?|Figure|Table)\s*(\d+[A-Za-z]*)"
-STATE = "struct<stack:array<string>,size:int,node:int,open:boolean,out:array<struct<node_idx:int,stack:array<string>>>>"
+STATE = "struct<stack:array<string>,size:int,node:int,open:boolean>"
 
 
 def next_stack(stack: Column, kind: Column, text: Column) -> Column:
@@ -34,9 +34,9 @@ def next_stack(stack: Column, kind: Column, text: Column) -> Column:
 
 def chunked(regions: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
     """regions with node_idx and stack: tables, figures, captions and footers alone; a title or heading begins a node; text fills one until it has over `most` characters."""
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("size"), F.lit(0).alias("node"), F.lit(False).alias("open"), F.array().cast("array<struct<node_idx:int,stack:array<string>>>").alias("out")).cast(STATE)
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("size"), F.lit(0).alias("node"), F.lit(False).alias("open"))
 
-    def step(s: Column, r: Column) -> Column:
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
         alone, head = r["type"].isin(*ATOMIC), r["type"].isin("title", "heading")
         size = F.length(F.coalesce(r["text"], F.lit("")))
         begins = (alone | head) & s["open"]  # what is open closes first
@@ -45,10 +45,10 @@ def chunked(regions: DataFrame, most: int = MAX_CHUNK) -> DataFrame:
         closes = alone | (~head & (filled > most))
         # a node shows the stack that holds when it closes
         stack = next_stack(s["stack"], r["type"], r["text"])
-        out = F.concat(s["out"], F.array(F.struct(node.alias("node_idx"), stack.alias("stack"))))
-        return F.struct(stack.alias("stack"), F.when(closes, 0).otherwise(filled).alias("size"), (node + F.when(closes, 1).otherwise(0)).alias("node"), (~closes).alias("open"), out.alias("out")).cast(STATE)
+        after = F.struct(stack.alias("stack"), F.when(closes, 0).otherwise(filled).alias("size"), (node + F.when(closes, 1).otherwise(0)).alias("node"), (~closes).alias("open"))
+        return after, F.struct(node.alias("node_idx"), stack.alias("stack"))
 
-    return carried(regions, ["doc_id"], ["region_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"]))
+    return carried(regions, ["doc_id"], ["region_idx"], start, step, STATE, "struct<node_idx:int,stack:array<string>>")
 
 
 def nodes(regions: DataFrame, most: int = MAX_CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -122,18 +122,16 @@ def neighbours(made: DataFrame, links: DataFrame) -> DataFrame:
 def batches(pieces: DataFrame, most: int = 4000, order: str = "node_idx", size: Column | None = None) -> DataFrame:
     """pieces (doc_id, order, content) with batch_idx: filled in order up to `most` characters; a longer piece is a batch of its own."""
     n = F.length("content") if size is None else size
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("batch"), F.array().cast("array<struct<batch_idx:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("batch"))
 
-    def step(s: Column, r: Column) -> Column:
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
         huge = r["n"] > most
         turn = (s["size"] > 0) & (huge | (s["size"] + r["n"] > most))
         batch = s["batch"] + F.when(turn, 1).otherwise(0)
-        return F.struct(
-            F.when(huge, 0).when(turn, r["n"]).otherwise(s["size"] + r["n"]).alias("size"), (batch + F.when(huge, 1).otherwise(0)).alias("batch"),
-            F.concat(s["out"], F.array(F.struct(batch.alias("batch_idx")))).alias("out"),
-        )
+        after = F.struct(F.when(huge, 0).when(turn, r["n"]).otherwise(s["size"] + r["n"]).alias("size"), (batch + F.when(huge, 1).otherwise(0)).alias("batch"))
+        return after, F.struct(batch.alias("batch_idx"))
 
-    return carried(pieces.withColumn("n", n.cast("int")), ["doc_id"], [order], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"])).drop("n")
+    return carried(pieces.withColumn("n", n.cast("int")), ["doc_id"], [order], start, step, "struct<size:int,batch:int>", "struct<batch_idx:int>").drop("n")
 
 
 def batched(made: DataFrame, most: int = 4000) -> DataFrame:
@@ -148,24 +146,24 @@ def batched(made: DataFrame, most: int = 4000) -> DataFrame:
 def shattered(made: DataFrame, most: int = 4000) -> DataFrame:
     """doc_id, node_idx, shard, chars, continued: nodes of over `most` characters cut between lines."""
     long = made.where(F.length("content") > most)
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shard"), F.array().cast("array<struct<shard:int,n:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("shard"))
 
-    def step(s: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> tuple[Column, Column]:
         n = F.length(line)
         turn = (s["size"] > 0) & (s["size"] + n > most)
         shard = s["shard"] + F.when(turn, 1).otherwise(0)
-        return F.struct(F.when(turn, n + 1).otherwise(s["size"] + n + 1).alias("size"), shard.alias("shard"), F.concat(s["out"], F.array(F.struct(shard.alias("shard"), (n + 1).alias("n")))).alias("out"))
+        return F.struct(F.when(turn, n + 1).otherwise(s["size"] + n + 1).alias("size"), shard.alias("shard")), F.struct(shard.alias("shard"), (n + 1).alias("n"))
 
-    parts = long.select("doc_id", "node_idx", F.explode(F.aggregate(F.split("content", "\n"), start, step, lambda s: s["out"])).alias("o")).groupBy("doc_id", "node_idx", "o.shard").agg(F.sum("o.n").alias("chars"))
+    cut = folded(F.split("content", "\n"), start, step, "struct<size:int,shard:int>", "struct<shard:int,n:int>")
+    parts = long.select("doc_id", "node_idx", F.explode(cut).alias("o")).groupBy("doc_id", "node_idx", "o.shard").agg(F.sum("o.n").alias("chars"))
     return parts.withColumn("continued", F.lead("shard").over(W.partitionBy("doc_id", "node_idx").orderBy("shard")).isNotNull())
 
 
 def page_chunks(regions: DataFrame, most: int = 2500) -> DataFrame:
     """regions with chunk_idx and section_path: cut at titles and headings once over half full, and after text once full."""
-    kind = "struct<size:int,chunk:int,path:array<string>,out:array<struct<chunk_idx:int,section_path:string>>>"
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<chunk_idx:int,section_path:string>>").alias("out")).cast(kind)
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<string>").alias("path"))
 
-    def step(s: Column, r: Column) -> Column:
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
         head = r["type"].isin("title", "heading")
         t = strip(F.coalesce(r["text"], F.lit("")))
         path = F.when(~head | (t == ""), s["path"]).when((r["type"] == "title") | (F.size(s["path"]) == 0), F.array(t)).otherwise(F.array(F.get(s["path"], F.lit(0)), t))
@@ -173,7 +171,7 @@ def page_chunks(regions: DataFrame, most: int = 2500) -> DataFrame:
         chunk = s["chunk"] + F.when(cut, 1).otherwise(0)
         size = F.when(cut, 0).otherwise(s["size"]) + F.length(F.coalesce(r["text"], F.lit("")))
         full = (size >= most) & ~r["type"].isin("table", "figure")
-        out = F.concat(s["out"], F.array(F.struct(chunk.alias("chunk_idx"), F.array_join(path, " > ").alias("section_path"))))
-        return F.struct(F.when(full, 0).otherwise(size).alias("size"), (chunk + F.when(full, 1).otherwise(0)).alias("chunk"), path.alias("path"), out.alias("out")).cast(kind)
+        after = F.struct(F.when(full, 0).otherwise(size).alias("size"), (chunk + F.when(full, 1).otherwise(0)).alias("chunk"), path.alias("path"))
+        return after, F.struct(chunk.alias("chunk_idx"), F.array_join(path, " > ").alias("section_path"))
 
-    return carried(regions, ["doc_id"], ["region_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"]))
+    return carried(regions, ["doc_id"], ["region_idx"], start, step, "struct<size:int,chunk:int,path:array<string>>", "struct<chunk_idx:int,section_path:string>")

@@ -10,15 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def carried(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Column], Column]) -> DataFrame:
+#: Elements that one inner fold goes over.
+BLOCK = 256
+
+
+def folded(rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, found: str) -> Column:
+    """What a fold finds for each element of an array, in order: step takes (state, element) and returns (next state, found).
+
+    Spark copies a fold's accumulator at every step. So an inner fold gathers what a block of
+    elements gives, and only the outer one, a step for each block, holds it all.
+    """
+    inner = f"struct<s:{state},out:array<{found}>>"
+    outer = f"struct<now:{inner},full:array<array<{found}>>>"
+    none = F.array().cast(f"array<{found}>")
+
+    def both(acc: Column, row: Column) -> Column:
+        after, got = step(acc["s"], row)
+        return F.struct(after.alias("s"), F.concat(acc["out"], F.array(got.cast(found))).alias("out")).cast(inner)
+
+    def block(acc: Column, part: Column) -> Column:
+        now = F.aggregate(part, F.struct(acc["now"]["s"].alias("s"), none.alias("out")).cast(inner), both)
+        return F.struct(now.alias("now"), F.concat(acc["full"], F.array(acc["now"]["out"])).alias("full")).cast(outer)
+
+    begin = F.struct(F.struct(start.cast(state).alias("s"), none.alias("out")).cast(inner).alias("now"), F.array().cast(f"array<array<{found}>>").alias("full")).cast(outer)
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / BLOCK).cast("int")), lambda i: F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.aggregate(parts, begin, block, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["now"]["out"]))))
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], start: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, found: str) -> DataFrame:
     """df with the fields that a fold finds for each row: one shuffle by keys, no join back.
 
-    fold takes a group's rows, an array of structs sorted by `order`, and returns an array of
-    structs of the same length.
+    The fold goes over a group's rows, structs sorted by `order`; see folded().
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("__rows"))
-    zipped = F.arrays_zip("__rows", fold(F.col("__rows")).alias("__found"))
+    zipped = F.arrays_zip("__rows", folded(F.col("__rows"), start, step, state, found).alias("__found"))
     return grouped.select(*keys, F.explode(zipped).alias("__z")).select(*keys, "__z.__rows.*", "__z.__found.*")
 
 

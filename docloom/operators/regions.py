@@ -126,16 +126,15 @@ def suppress(regions: DataFrame, most: float, inclusive: bool = False) -> DataFr
     """Greedy suppression: a region stays if its IoU with each kept one is at most `most` (below it, if inclusive)."""
     hit = (lambda a, b: _iou(a, b) >= most) if inclusive else (lambda a, b: _iou(a, b) > most)
     side = "struct<x0:double,y0:double,x1:double,y1:double>"
-    kind = f"struct<kept:array<{side}>,out:array<struct<__keep:boolean>>>"
-    start = F.struct(F.array().cast(f"array<{side}>").alias("kept"), F.array().cast("array<struct<__keep:boolean>>").alias("out")).cast(kind)
+    start = F.struct(F.array().cast(f"array<{side}>").alias("kept"))
 
-    def step(s: Column, r: Column) -> Column:
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
         over = F.exists(s["kept"], lambda k: hit(k, r))
         box = F.struct(*[r[c].alias(c) for c in geo.SIDES])
-        return F.struct(F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(box))).alias("kept"), F.concat(s["out"], F.array(F.struct((~over).alias("__keep")))).alias("out")).cast(kind)
+        return F.struct(F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(box))).alias("kept")), F.struct((~over).alias("__keep"))
 
     ranked = regions.withColumns({"__c": -F.col("conf"), "__a": -geo.area()})
-    return carried(ranked, PAGE, ["__c", "__a", "region_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"])).where("__keep").select(*regions.columns)
+    return carried(ranked, PAGE, ["__c", "__a", "region_idx"], start, step, f"struct<kept:array<{side}>>", "struct<__keep:boolean>").where("__keep").select(*regions.columns)
 
 
 def merge_detections(regions: DataFrame, most: float = 0.3, inside: float = 0.8) -> DataFrame:

@@ -123,15 +123,14 @@ def stylesheet(words: DataFrame) -> DataFrame:
 
 def row_groups(words: DataFrame, tolerance: float) -> DataFrame:
     """words with row_no: by top edge; a row takes words within tolerance of its first one's top."""
-    kind = "struct<anchor:double,row:int,out:array<struct<row_no:int>>>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<row_no:int>>").alias("out")).cast(kind)
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"))
 
-    def step(s: Column, w: Column) -> Column:
+    def step(s: Column, w: Column) -> tuple[Column, Column]:
         new = s["anchor"].isNull() | (F.abs(w["y0"] - s["anchor"]) > tolerance)
         no = s["row"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, w["y0"]).otherwise(s["anchor"]).alias("anchor"), no.alias("row"), F.concat(s["out"], F.array(F.struct(no.alias("row_no")))).alias("out")).cast(kind)
+        return F.struct(F.when(new, w["y0"]).otherwise(s["anchor"]).alias("anchor"), no.alias("row")), F.struct(no.alias("row_no"))
 
-    return carried(words, ["doc_id"], ["y0", "word_idx"], lambda rows: F.aggregate(rows, start, step, lambda s: s["out"]))
+    return carried(words, ["doc_id"], ["y0", "word_idx"], start, step, "struct<anchor:double,row:int>", "struct<row_no:int>")
 
 
 def row_tolerance(words: DataFrame, factor: float, least: float) -> DataFrame:
