@@ -124,20 +124,24 @@ def fuzzy(needle: str, source: str, least: float = 0.85) -> tuple[float | None,
 def repaired(fields: DataFrame, docs: DataFrame, least: float = 0.85) -> DataFrame:
     """fields with ratio, repair and state: verified as they stand, repaired from a similar window, or flagged (with a null ratio where no window could reach `least`).
 
-    Only leaves that are not verbatim reach Python, with their source, in Arrow batches.
+    Sources are made comparable once a document and joined once; only leaves that are not verbatim take
+    theirs along to Python, in Arrow batches.
     """
-    v = verified(fields, docs)
-    exact = v.where("verbatim").withColumns({"ratio": F.lit(1.0), "repair": F.lit(None).cast("string"), "state": F.lit("verified")}).drop("verbatim")
-    rest = v.where("not verbatim").drop("verbatim").join(docs.select("doc_id", comparable(F.col("text")).alias("__source")), "doc_id", "left").withColumn("__needle", comparable(F.col("value")))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in exact.schema.fields)
+    source = docs.select("doc_id", comparable(F.col("text")).alias("__source"))
+    v = candidates(fields).join(source, "doc_id", "left").withColumn("__needle", comparable(F.col("value")))
+    verbatim = F.coalesce(F.instr(F.col("__source"), F.col("__needle")) > 0, F.lit(False))
+    v = v.withColumn("__source", F.when(~verbatim, F.coalesce("__source", F.lit(""))))  # null: verbatim
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema.fields) + ", ratio double, repair string, state string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [fuzzy(n, s or "", least) for n, s in zip(b["__needle"], b["__source"], strict=True)]
+            exact = b["__source"].isna().tolist()
+            got = [(1.0, n) if e else fuzzy(n, s, least) for e, n, s in zip(exact, b["__needle"], b["__source"], strict=True)]
             good = [r is not None and r >= least and s != n for (r, s), n in zip(got, b["__needle"], strict=True)]
-            yield b.drop(columns=["__needle", "__source"]).assign(ratio=[None if r is None else round(r, 3) for r, _ in got], repair=[s if g else None for (_, s), g in zip(got, good, strict=True)], state=["repaired" if g else "flagged" for g in good])
+            state = ["verified" if e else "repaired" if g else "flagged" for e, g in zip(exact, good, strict=True)]
+            yield b.drop(columns=["__needle", "__source"]).assign(ratio=[None if r is None else round(r, 3) for r, _ in got], repair=[s if g else None for (_, s), g in zip(got, good, strict=True)], state=state)
 
-    return exact.unionByName(rest.mapInPandas(run, kinds))
+    return v.mapInPandas(run, kinds)
 
 
 def evidence(found: DataFrame, most: int = 6) -> DataFrame:

@@ -381,7 +381,17 @@ def span_words(spark, sf):
     return w.select("doc_id", "span_no", "pos", "word", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
 
 
-@query("paragraph_groups")
+@query("paragraph_groups", oracle("""
+with p as (select doc_id, page, count(*) as n, list(region_idx order by y0, region_idx) as ids, list(x0 order by y0, region_idx) as xa, list(y0 order by y0, region_idx) as ya, list(x1 order by y0, region_idx) as xb, list(y1 order by y0, region_idx) as yb from f_box where type = 'text' group by doc_id, page),
+f as (select doc_id, page, 1 :: bigint as i, 2 :: bigint as j, 1 :: bigint as last, 0 as no, list_concat([0], list_transform(range(n - 1), lambda x: -1)) as out from p union all
+  select f.doc_id, f.page, case when passed then i + 1 else i end, case when not passed then case when stops then n + 1 else j + 1 end when f.out[i + 1] >= 0 then n + 1 else i + 2 end,
+    case when passed then i + 1 when joins then j else last end, case when passed and i < n and f.out[i + 1] < 0 then no + 1 else no end,
+    case when passed and i < n and f.out[i + 1] < 0 then list_concat(list_concat(f.out[: i], [no + 1]), f.out[i + 2 :]) when joins then list_concat(list_concat(f.out[: j - 1], [no]), f.out[j + 1 :]) else f.out end
+  from f join p on p.doc_id = f.doc_id and p.page = f.page, lateral (select f.j > p.n as passed, greatest(yb[i] - ya[i], 1e-9) as tall, ya[j] - yb[last] as gap, least(xb[last], xb[j]) - greatest(xa[last], xa[j]) as shared) a,
+  lateral (select not passed and f.out[j] < 0 and gap > 3 * tall as stops) b,
+  lateral (select not passed and not stops and f.out[j] < 0 and gap between -0.5 * tall and 1.5 * tall and (shared > 0.5 * least(xb[last] - xa[last], xb[j] - xa[j]) or abs(xa[last] - xa[j]) <= 20) as joins) c
+  where i <= n)
+select f.doc_id, f.page, unnest(p.ids) as region_idx, unnest(f.out) as paragraph from f join p on p.doc_id = f.doc_id and p.page = f.page where i = n + 1""", "box", recursive=True))
 def paragraph_groups(spark, sf):
     return profile.paragraphs(load(spark, sf, "box"))
 

@@ -163,6 +163,7 @@ select doc_id, page, region_idx from f where keep"""
 
 
 IOU_B = iou("r.", "b.")
+IOU_X = iou("s.", "x.")
 
 
 @query("nms", oracle(_nms_sql("f_box", f"{IOU_B} > 0.3"), "box", recursive=True))
@@ -175,9 +176,21 @@ def table_dedupe(spark, sf):
     return op.suppress(load(spark, sf, "box").where("type in ('table', 'figure')"), 0.25, inclusive=True).select("doc_id", "page", "region_idx")
 
 
-@query("merge_detections")
+_TAKES = f"({IOU_X} > 0.3 or coalesce({inter('s.', 'x.')} / nullif({area('x.')}, 0), 0) > 0.8)"
+
+
+@query("merge_detections", oracle(f"""
+with s as (select *, row_number() over (partition by doc_id, page order by conf desc, ({area('')}) desc, region_idx) as k from f_box),
+every as (select doc_id, page, list(struct_pack(region_idx := region_idx, x0 := x0, y0 := y0, x1 := x1, y1 := y1, conf := conf, type := type, source := source) order by k) as rs from s group by doc_id, page),
+g as (select doc_id, page, 0 :: bigint as k, rs as free, rs[:0] as taken, false as here from every union all
+  select s.doc_id, s.page, s.k, case when h.here then list_filter(o.others, lambda x: not {_TAKES}) else g.free end, case when h.here then list_filter(o.others, lambda x: {_TAKES}) else g.free[:0] end, h.here
+  from g join s on s.doc_id = g.doc_id and s.page = g.page and s.k = g.k + 1, lateral (select len(list_filter(g.free, lambda x: x.region_idx = s.region_idx)) > 0 as here) h, lateral (select list_filter(g.free, lambda x: x.region_idx <> s.region_idx) as others) o),
+b as (select s.doc_id, s.page, s.region_idx, s.x0, s.y0, s.x1, s.y1, s.type, s.conf, case when s.type = 'caption' then list_filter(taken, lambda x: x.type in ('title', 'text', 'table') and x.conf > 0.7)[1] end as better,
+  list_sort(list_distinct(list_append(list_transform(taken, lambda x: x.source), s.source))) as models from g join s on s.doc_id = g.doc_id and s.page = g.page and s.k = g.k where here),
+m as (select doc_id, page, region_idx, x0, y0, x1, y1, coalesce(better.type, type) as type, coalesce(better.conf, conf) as conf, models from b), {_nms_sql('m', f'{IOU_B} > 0.3').strip().removeprefix('with ').rsplit('select', 1)[0]}
+select m.doc_id, m.page, m.region_idx, m.x0, m.y0, m.x1, m.y1, m.type, m.conf, array_to_string(m.models, ',') as models from f join m on m.doc_id = f.doc_id and m.page = f.page and m.region_idx = f.region_idx where f.keep""", "box", recursive=True))
 def merge_detections(spark, sf):
-    return op.merge_detections(load(spark, sf, "box"))
+    return op.merge_detections(load(spark, sf, "box")).withColumn("models", F.array_join("models", ","))
 
 
 @query("reading_order", oracle("select doc_id, page, region_idx, cast(row_number() over (partition by doc_id, page order by y0, case when x1 - x0 > 612 * 0.6 then 2 when (x0 + x1) / 2 < 306 then 0 else 1 end, region_idx) - 1 as int) as read_no, 'p' || page || '_r' || (row_number() over (partition by doc_id, page order by y0, case when x1 - x0 > 612 * 0.6 then 2 when (x0 + x1) / 2 < 306 then 0 else 1 end, region_idx) - 1) as region_id from f_box", "box"))

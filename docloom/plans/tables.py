@@ -52,7 +52,15 @@ def table_anchor_nn(spark, sf):
     return op.anchor_candidates(load(spark, sf, "box")).withColumn("distance", F.round("distance", 6))
 
 
-@query("table_anchors_consumed")
+@query("table_anchors_consumed", oracle("""
+with p as (select a.doc_id, a.page, a.region_idx as table_idx, b.region_idx as text_idx, a.y0 - b.y1 as up, least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0 as beside, abs(b.x0 - a.x0) as off, greatest(a.x0 - b.x1, 0) as rt, abs(a.y0 - b.y0) as lower,
+  b.x1 <= a.x0 + 30 as left_of, b.x1 <= a.x1 + 200 as near from f_box a join f_box b on a.doc_id = b.doc_id and a.page = b.page where a.type = 'table' and b.type in ('text', 'title', 'heading')),
+s as (select *, (up between -20 and 120 or beside) and (off <= 50 or left_of) as strict from p),
+d as (select *, case when strict then case when beside then rt + lower * 0.5 else sqrt(up * up + off * off) end when beside and near then rt + lower * 0.1 end as distance from s),
+c as (select doc_id, page, table_idx, list(text_idx order by case when strict then 0 else 1 end, distance, text_idx) as texts, row_number() over (partition by doc_id, page order by table_idx) as k from d where distance is not null group by doc_id, page, table_idx),
+f as (select doc_id, page, k, table_idx, texts[1] as text_idx, [texts[1]] as used from c where k = 1 union all
+  select c.doc_id, c.page, c.k, c.table_idx, h.free, list_append(f.used, h.free) from f join c on c.doc_id = f.doc_id and c.page = f.page and c.k = f.k + 1, lateral (select list_filter(c.texts, lambda x: not list_contains(f.used, x))[1] as free) h)
+select doc_id, page, table_idx, text_idx from f where text_idx is not null""", "box", recursive=True))
 def table_anchors_consumed(spark, sf):
     return op.anchors(load(spark, sf, "box"))
 
@@ -185,7 +193,18 @@ def table_route(spark, sf):
     return op.routed(load(spark, sf, "word"), load(spark, sf, "line"), tabs(spark, sf)).select("doc_id", "table_type", F.round("ruled_score", 6).alias("ruled_score"), F.round("kv_score", 6).alias("kv_score"), "n_gaps", "n_anchors")
 
 
-@query("kv_cells")
+@query("kv_cells", oracle(f"""
+with {_GAPS}, sp as (select doc_id, (cx + nx) / 2 as split from g where (cx + nx) / 2 / 600 > 0.2 and (cx + nx) / 2 / 600 < 0.8 and nx > cx qualify row_number() over (partition by doc_id order by nx - cx desc, cx) = 1 and nx - cx >= 30),
+r as (select *, row_number() over (partition by doc_id order by y0, word_idx) as k from f_word),
+f as (select doc_id, k, word_idx, y0 as anchor, 0 as row_no from r where k = 1 union all
+  select r.doc_id, r.k, r.word_idx, case when abs(r.y0 - f.anchor) > 5 then r.y0 else f.anchor end, f.row_no + case when abs(r.y0 - f.anchor) > 5 then 1 else 0 end from f join r on r.doc_id = f.doc_id and r.k = f.k + 1),
+l as (select w.doc_id, row_no, (max(x1) - min(x0)) / 600 > 0.7 as is_header, string_agg(text, ' ' order by x0, word_idx) as whole, coalesce(string_agg(text, ' ' order by x0, word_idx) filter (cx < split), '') as key, coalesce(string_agg(text, ' ' order by x0, word_idx) filter (cx >= split), '') as value
+  from w join f using (doc_id, word_idx) join sp on sp.doc_id = w.doc_id group by w.doc_id, row_no),
+j as (select *, not is_header and key = '' and value <> '' and coalesce(lag(not is_header and value <> '') over (partition by doc_id order by row_no), false) as goes_on from l),
+o as (select *, last_value(case when not goes_on then row_no end ignore nulls) over (partition by doc_id order by row_no rows between unbounded preceding and current row) as owner from j),
+c as (select doc_id, row_number() over (partition by doc_id order by owner) - 1 as row_no, arg_min(is_header, row_no) as is_header, arg_min(whole, row_no) as whole, arg_min(key, row_no) as key, coalesce(string_agg(value, ' ' order by row_no) filter (value <> ''), '') as value from o group by doc_id, owner)
+select doc_id, cast(row_no as int) as row_no, 0 as col_no, case when is_header then whole else key end as text, is_header from c where case when is_header then whole else key end <> '' union all
+select doc_id, cast(row_no as int), 1, value, is_header from c where not is_header and value <> ''""", "word", recursive=True))
 def kv_cells(spark, sf):
     return op.kv_cells(load(spark, sf, "word"), tabs(spark, sf))
 

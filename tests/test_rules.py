@@ -11,6 +11,7 @@ from docloom.functions import geometry as geo
 from docloom.functions import json_tools as js
 from docloom.functions import text as tx
 from docloom.operators import evaluation, graph, profile, providers, records, regions, routing, tables
+from docloom.operators.paged import folded
 from docloom.session import numbered
 from docloom.sources import readers
 
@@ -169,6 +170,13 @@ def test_chunks(spark):
     assert sum(x.region_count for x in n.values()) == 8 and all(n[i].region_count == 1 for i in (2, 3, 5))
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_folds_of_any_length(spark, n):
+    """Sums so far, over blocks of elements and what is left of them."""
+    sums = folded(F.expr(f"sequence(1, {n})") if n else F.array().cast("array<int>"), F.struct(F.lit(0).alias("sum")), lambda s, x: (F.struct((s["sum"] + x).alias("sum")), F.struct((s["sum"] + x).alias("sum"))), "struct<sum:int>", "struct<sum:int>")
+    assert [r.sum for r in spark.range(1).select(sums.alias("s")).first().s] == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
 def test_batches(spark):
     p = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate((10, 30, 5, 100, 40, 1, 40))], "doc_id long, node_idx int, content string")
     assert column(graph.batches(p, 40), "batch_idx", "node_idx") == [0, 0, 1, 2, 3, 4, 5]
