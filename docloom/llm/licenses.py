@@ -42,6 +42,10 @@ TEMPLATES = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
     ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.", "SPDX-License-Identifier: AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3.",
+    ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -49,6 +53,16 @@ TEMPLATES = {
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0.",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC", "Licensed under the ISC License.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License, version 2.0.",
+    ),
+    "eupl": (
+        "Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2", "Licensed under the EUPL, Version 1.2.",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0",
     ),

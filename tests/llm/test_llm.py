@@ -554,6 +554,24 @@ def test_licence_templates_name_themselves():
     assert not any(licenses.licences(s.encode())[1] for s in licenses.OTHERS)
 
 
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        (" * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Affero General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or", "agpl"),
+        ("This code is under the GNU Affero General Public License version 3.", "agpl"),
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or", "gpl"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"),
+        ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/", "epl"),
+        ("Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL", "eupl"),
+        ("This software is provided 'as-is', without any express or implied warranty.", None),
+        ("This is licensed under the Boost Software License, Version 1.0.", None),
+    ],
+)
+def test_licences_told_apart(text, family):
+    """Texts that are no templates: families that share most of their words, and families never seen, which stay unknown."""
+    assert {f for f, _, _ in licenses.licences(text.encode())[1]} == ({family} if family else set())
+
+
 def test_wrapped_licences():
     """Texts wrapped at usual widths, with and without comment signs, declare the family on one line of theirs."""
     texts = {
