@@ -251,6 +251,26 @@ def test_quality(spark, odd, none):
     assert {r["score"] for r in rows(quality.classify(docs, labels.limit(0)))} == {0.5}
 
 
+def test_quality_learns_from_all_rows_and_pairs(spark):
+    """The weights are where the loss over every pair of training rows is least, the threshold is the quantile of all; the dealing of rows changes nothing."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["river", "far", "a|b", "SALE!", "of,", "12"][rng.randint(0, 2) :]) for _ in range(rng.randint(3, 60)))) for i in range(700)] + [(5, "twice")]
+    label = [(i, int(t.count("river") + rng.gauss(0, 2) > 5)) for i, t in texts if i % 7] + [(5, 1)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(label, "doc_id long, quality int")
+    ranker = quality.train(docs, labels)
+    known = [(quality.features(t.encode()), g) for i, t in texts for j, g in label if i == j and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, good = np.array([f for f, _ in known]), np.array([g for _, g in known])
+    scale = x.std(0)
+    z = (x - x.mean(0)) / np.where(scale < 1e-9, 1, scale)
+    s = z @ ranker.weights
+    p = 1 / (1 + np.exp(s[good == 1][:, None] - s[good == 0][None]))  # each pair's chance to be put wrong
+    slope = (z[good == 0].T @ p.sum(0) - z[good == 1].T @ p.sum(1)) / p.size + quality.RIDGE * ranker.weights
+    assert np.abs(slope).max() < 1e-6 and np.abs(ranker.weights).max() > 0.1
+    assert abs(ranker.threshold - np.quantile(s, (good == 0).mean())) < 1e-6
+    for other in (quality.train(docs.repartition(7), labels.repartition(5)), quality.learn(x[::-1], good[::-1])):
+        assert (other.weights == ranker.weights).all() and other.threshold == ranker.threshold
+
+
 # --- near duplicates
 
 
