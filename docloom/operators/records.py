@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import comparable, is_empty, strip
+from docloom.functions.text import ascii_rule, comparable, is_empty, strip
 
 SKIPPED = ("reasoning_thoughts", "page_references", "source_evidence", "confidence_score", "status", "error", "details")
 SET_FIELDS = ("page_references", "standards", "key_points")
@@ -185,6 +185,6 @@ def annotations(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     standards = (r"\b(?:ISO|IEC|EN|DIN|ANSI|BS|CSA|UL)\s*[\-:]?\s*\d+[\-:]?\d*[\-:]?\d*", r"\bCE\s+(?:Mark|marked|certified)", r"\bRoHS", r"\bREACH", r"\bIP\d{2}")
     connectors = ("M12", "M8", "M5", "RJ45", "RJ11", "USB", "HDMI", "DIN", "XLR", "BNC", "DBE", "D-Sub", "Ethernet", "Serial", "Modular", "Circular", "Rectangular", "Inline")
-    found = F.concat(*[F.regexp_extract_all(t, F.lit("(?i)" + s), F.lit(0)) for s in standards])
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(ascii_rule(s)), F.lit(0)) for s in standards])
     used = F.filter(F.array(*[F.lit(c) for c in connectors]), lambda c: F.lower(t).contains(F.lower(c)))
-    return docs.select("doc_id", F.regexp_extract(t, r"(?i)\b(USD|EUR|GBP|CHF|JPY|CNY|INR|MXN)\b", 1).alias("currency"), F.slice(F.array_sort(F.array_distinct(found)), 1, 8).alias("standards"), F.slice(F.array_sort(used), 1, 6).alias("connectors"))
+    return docs.select("doc_id", F.regexp_extract(t, ascii_rule(r"\b(USD|EUR|GBP|CHF|JPY|CNY|INR|MXN)\b"), 1).alias("currency"), F.slice(F.array_sort(F.array_distinct(found)), 1, 8).alias("standards"), F.slice(F.array_sort(used), 1, 6).alias("connectors"))

@@ -101,7 +101,9 @@ select l_orderkey {div} 4 as doc_id, cast(l_linenumber as int) as batch_idx, {_p
         paths = ("vendor.name", "total_price", "notes", "issued_date", "items.0.code", "summary")
         return f"select o_orderkey {div} 4 as doc_id, {_pick(duck, paths, 'o_custkey % 6')} as path, max({_pick(duck, TOKENS, 'o_custkey % 13')}) as expected from {t('orders')} group by 1, 2"
     if name == "domain_text":
-        return f"select doc_id, concat(lower(text), ' ', {_pick(duck, DOMAINS, 'doc_id % 9')}, ' ', {_pick(duck, DOMAINS, '(doc_id // 9) % 9' if duck else '(doc_id div 9) % 9')}) as text from {t('documents')}"
+        parts = ("lower(text)" if duck else "lower(replace(text, 'İ', 'i'))", _pick(duck, DOMAINS, "doc_id % 9"), _pick(duck, DOMAINS, "(doc_id // 9) % 9" if duck else "(doc_id div 9) % 9"))
+        a, b, c = parts if duck else (f"coalesce({x}, '')" for x in parts)  # DuckDB's concat leaves out nulls, its lower case of İ is one letter
+        return f"select doc_id, concat({a}, ' ', {b}, ' ', {c}) as text from {t('documents')}"
     if name == "cell":
         return f"""
 select doc_id, row_no, col_no, max(text) as text, count(*) as n_words from (
