@@ -187,4 +187,4 @@ def annotations(docs: DataFrame) -> DataFrame:
     connectors = ("M12", "M8", "M5", "RJ45", "RJ11", "USB", "HDMI", "DIN", "XLR", "BNC", "DBE", "D-Sub", "Ethernet", "Serial", "Modular", "Circular", "Rectangular", "Inline")
     found = F.concat(*[F.regexp_extract_all(t, F.lit(ascii_rule(s)), F.lit(0)) for s in standards])
     used = F.filter(F.array(*[F.lit(c) for c in connectors]), lambda c: F.lower(t).contains(F.lower(c)))
-    return docs.select("doc_id", F.regexp_extract(t, ascii_rule(r"\b(USD|EUR|GBP|CHF|JPY|CNY|INR|MXN)\b"), 1).alias("currency"), F.slice(F.array_sort(F.array_distinct(found)), 1, 8).alias("standards"), F.slice(F.array_sort(used), 1, 6).alias("connectors"))
+    return docs.select("doc_id", F.regexp_extract(t, ascii_rule(r"\b(USD|EUR|GBP|CHF|JPY|CNY|INR|MXN)\b"), 1).alias("currency"), F.array_sort(F.array_distinct(found)).alias("standards"), F.array_sort(used).alias("connectors"))

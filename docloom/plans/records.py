@@ -197,8 +197,8 @@ def path_lookup(spark, sf):
 
 @query("annotations", oracle(r"""
 with t as (select doc_id, text || case when doc_id % 3 = 0 then ' ISO 9001 and IP67 RoHS USD M12 usb' when doc_id % 3 = 1 then ' EN 60529-1 rj45' else '' end as t from f_domain_text)
-select doc_id, regexp_extract(t, '(?i)\b(USD|EUR|GBP|CHF|JPY|CNY|INR|MXN)\b', 1) as currency, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '(?i)\b(?:ISO|IEC|EN|DIN|ANSI|BS|CSA|UL)\s*[\-:]?\s*\d+[\-:]?\d*[\-:]?\d*'), regexp_extract_all(t, '(?i)\bCE\s+(?:Mark|marked|certified)'), regexp_extract_all(t, '(?i)\bRoHS'), regexp_extract_all(t, '(?i)\bREACH'), regexp_extract_all(t, '(?i)\bIP\d{2}'))))[:8], ',') as standards,
-  array_to_string(list_sort(list_filter(['M12','M8','M5','RJ45','RJ11','USB','HDMI','DIN','XLR','BNC','DBE','D-Sub','Ethernet','Serial','Modular','Circular','Rectangular','Inline'], lambda c: contains(lower(t), lower(c))))[:6], ',') as connectors from t""", "domain_text"))
+select doc_id, regexp_extract(t, '(?i)\b(USD|EUR|GBP|CHF|JPY|CNY|INR|MXN)\b', 1) as currency, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '(?i)\b(?:ISO|IEC|EN|DIN|ANSI|BS|CSA|UL)\s*[\-:]?\s*\d+[\-:]?\d*[\-:]?\d*'), regexp_extract_all(t, '(?i)\bCE\s+(?:Mark|marked|certified)'), regexp_extract_all(t, '(?i)\bRoHS'), regexp_extract_all(t, '(?i)\bREACH'), regexp_extract_all(t, '(?i)\bIP\d{2}')))), ',') as standards,
+  array_to_string(list_sort(list_filter(['M12','M8','M5','RJ45','RJ11','USB','HDMI','DIN','XLR','BNC','DBE','D-Sub','Ethernet','Serial','Modular','Circular','Rectangular','Inline'], lambda c: contains(lower(t), lower(c)))), ',') as connectors from t""", "domain_text"))
 def annotations(spark, sf):
     i = F.col("doc_id") % 3
     t = load(spark, sf, "domain_text").withColumn("text", F.concat("text", F.when(i == 0, " ISO 9001 and IP67 RoHS USD M12 usb").when(i == 1, " EN 60529-1 rj45").otherwise("")))
