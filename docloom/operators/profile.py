@@ -44,9 +44,9 @@ def document_type(boxes: DataFrame, page_area: float = 612 * 792) -> DataFrame:
 
 
 def headings_by_stats(words: DataFrame, bold: Column) -> DataFrame:
-    """words that stand out: larger than the mean plus 1.5 deviations of their document, or bold."""
+    """words that stand out: larger than the mean plus 1.5 deviations of their document by more than rounding, or bold."""
     w = W.partitionBy("doc_id")
-    return words.where(words.font_size.isNotNull()).withColumn("limit", F.avg("font_size").over(w) + 1.5 * F.stddev_pop("font_size").over(w)).where((F.col("font_size") > F.col("limit")) | bold).drop("limit")
+    return words.where(words.font_size.isNotNull()).withColumn("limit", F.avg("font_size").over(w) + 1.5 * F.stddev_pop("font_size").over(w)).where((F.col("font_size") > F.col("limit") + 1e-9) | bold).drop("limit")
 
 
 def importance(boxes: DataFrame) -> DataFrame:
