@@ -29,9 +29,10 @@ TITLES = (
 
 
 def structure_cells(parts: DataFrame) -> DataFrame:
-    """doc_id, row_no, col_no, x0..y1, confidence, is_header of detected (doc_id, kind row|column|header, box, score): each row with each column it crosses."""
-    rows = parts.where("kind = 'row'").withColumn("row_no", F.row_number().over(W.partitionBy("doc_id").orderBy("y0", "x0", "score")) - 1)
-    cols = parts.where("kind = 'column'").withColumn("col_no", F.row_number().over(W.partitionBy("doc_id").orderBy("x0", "y0", "score")) - 1)
+    """doc_id, row_no, col_no, x0..y1, confidence, is_header of detected (doc_id, kind row|column|header, box, score): each row with each column it crosses. Boxes of one corner and score count by their far corner, so numbers do not depend on how rows are dealt; nulls come last."""
+    place = lambda *order: F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.asc_nulls_last(c) for c in (*order, "score", "y1", "x1")])) - 1
+    rows = parts.where("kind = 'row'").withColumn("row_no", place("y0", "x0"))
+    cols = parts.where("kind = 'column'").withColumn("col_no", place("x0", "y0"))
     r, c = geo.renamed(rows, "r_"), geo.renamed(cols, "c_")
     p = r.join(c, F.col("r_doc_id") == F.col("c_doc_id")).select(
         F.col("r_doc_id").alias("doc_id"), F.col("r_row_no").alias("row_no"), F.col("c_col_no").alias("col_no"), F.greatest("r_x0", "c_x0").alias("x0"), F.greatest("r_y0", "c_y0").alias("y0"),
